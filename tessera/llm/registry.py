@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontamination
+from .near_dups import op8_simhash
+from .passages import OP10_SQL, op10_passages
 from .sharding import op4_sharding
 
 
@@ -10,8 +12,10 @@ def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op4_sharding": op4_sharding,
+        "op8_simhash": op8_simhash,
+        "op10_passages": op10_passages,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_decontamination": OP1_SQL}
+    return {"op1_decontamination": OP1_SQL, "op10_passages": OP10_SQL}
