@@ -84,7 +84,7 @@ def _count(keys: DataFrame, intervals: list[tuple]) -> dict[int, list[tuple[int,
     """For each interval, (slice, bytes, least key, largest key) of its slices that hold rows."""
     order = sorted(range(len(intervals)), key=lambda k: (intervals[k][1] if intervals[k][0] else intervals[k][2]))
     ordered = [intervals[k] for k in order]
-    pick = lambda values: F.try_element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("_k"))
+    pick = lambda values: F.try_element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.greatest(F.col("_k"), F.lit(1)))
     widths = [max(1, -(-(high - low + 1) >> SLICE_BITS)) for _, _, low, high, _ in ordered]
     rows = keys.withColumn("_k", _reached([(text if level else low, LOW) for level, text, low, _, _ in ordered])).where("_k > 0")
     rows = rows.select("_k", "_size", "_text", F.when(pick([x[0] for x in ordered]) == 1, F.col("_id")).otherwise(F.col("_text")).alias("_key"), *(pick(v).alias(c) for c, v in (("level", [x[0] for x in ordered]), ("text", [x[1] for x in ordered]), ("low", [x[2] for x in ordered]), ("high", [x[3] for x in ordered]), ("width", widths))))
