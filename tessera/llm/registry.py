@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontamination
+from .merkle import op9_merkle
+from .mixing import op3_mixing
 from .near_dups import op8_simhash
 from .passages import OP10_SQL, op10_passages
+from .secrets import op2_secrets
 from .sharding import op4_sharding
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_secrets": op2_secrets,
+        "op3_mixing": op3_mixing,
         "op4_sharding": op4_sharding,
         "op8_simhash": op8_simhash,
+        "op9_merkle": op9_merkle,
         "op10_passages": op10_passages,
     }
 
