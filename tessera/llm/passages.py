@@ -115,10 +115,20 @@ def _batch(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(f, pa.bool_()), pa.array(blob, pa.binary())], ["bucket", "flags", "blob"])
 
 
+def _joined(bucket: int, parts: list[list[np.ndarray]]) -> list[tuple[int, bool, bytes]]:
+    """Places that tasks have settled for one bucket of documents, as one row."""
+    if not parts:
+        return []
+    base = np.cumsum([0, *(len(p[0]) for p in parts)])
+    which = np.concatenate([p[2] + np.uint32(b) for p, b in zip(parts, base)])
+    return [(bucket, True, _pack(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)), which, np.concatenate([p[3] for p in parts])))]
+
+
 def _meet(group: pa.Table) -> pa.Table:
     """The places, by buckets of documents, of hashes that came twice to this bucket or with a mark."""
-    rows = [(b, True, blob) for b, f, blob in zip(*(group[c].to_pylist() for c in ("bucket", "flags", "blob"))) if f]
-    parts = [_unpack(blob) for f, blob in zip(group["flags"].to_pylist(), group["blob"].to_pylist()) if not f]
+    flags, blobs = group["flags"].to_pylist(), group["blob"].to_pylist()
+    rows = _joined(group["bucket"][0].as_py(), [_unpack(blob) for f, blob in zip(flags, blobs) if f])
+    parts = [_unpack(blob) for f, blob in zip(flags, blobs) if not f]
     if parts:
         ids, keys, buckets = (np.concatenate([p[k] for p in parts]) for k in range(3))
         base = np.cumsum([0, *(len(p[0]) for p in parts)])
@@ -232,7 +242,7 @@ def remove_passages(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words or more")
-    n_buckets = 2 * parallelism(documents.sparkSession)
+    n_buckets = parallelism(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
     docs = docs.select("doc_id", "text_key", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(n_buckets)).cast("int").alias("bucket"), "text")
     flagged = anchors(docs, window, n_buckets).groupBy("bucket").applyInArrow(_meet, PACKED)
