@@ -7,8 +7,10 @@ from .merkle import op9_merkle
 from .mixing import op3_mixing
 from .near_dups import op8_simhash
 from .passages import OP10_SQL, op10_passages
+from .quality import op7_quality
 from .secrets import op2_secrets
 from .sharding import op4_sharding
+from .toxicity import op5_toxicity
 
 
 def queries() -> dict:
@@ -17,6 +19,8 @@ def queries() -> dict:
         "op2_secrets": op2_secrets,
         "op3_mixing": op3_mixing,
         "op4_sharding": op4_sharding,
+        "op5_toxicity": op5_toxicity,
+        "op7_quality": op7_quality,
         "op8_simhash": op8_simhash,
         "op9_merkle": op9_merkle,
         "op10_passages": op10_passages,
