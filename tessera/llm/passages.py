@@ -31,14 +31,14 @@ MARK = 0xFFFFFFFF
 PACKED = "bucket int, flags boolean, blob binary"
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed string; the bytes of equal weight stand together, which compresses ids and places."""
     head = np.array([len(arrays), *(len(a) for a in arrays), *(a.dtype.itemsize for a in arrays)], np.int64)
     parts = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() for a in arrays]
     return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(parts))
 
 
-def _unpack(blob: bytes) -> list[np.ndarray]:
+def unpack(blob: bytes) -> list[np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     n = int(raw[:8].view(np.int64)[0])
     sizes = raw[8 : 8 + 16 * n].view(np.int64)
@@ -96,7 +96,7 @@ def _records(ids, keys, buckets, doc, pos, h1, h2, own, marked) -> bytes:
     which = np.full(len(own), MARK, np.uint32)
     which[~marked] = at
     place = np.where(marked, 0, pos[own]).astype(np.uint32)
-    return _pack(ids[used], keys[used], buckets[used], which, place, h1[own], h2[own] if h2[own].any() else np.zeros(0, U))
+    return pack(ids[used], keys[used], buckets[used], which, place, h1[own], h2[own] if h2[own].any() else np.zeros(0, U))
 
 
 def _by_documents(ids, keys, buckets, doc, pos, flags: bool) -> Iterator[tuple[int, bool, bytes]]:
@@ -107,7 +107,7 @@ def _by_documents(ids, keys, buckets, doc, pos, flags: bool) -> Iterator[tuple[i
     cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else np.zeros(1, np.int64)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         used, at = np.unique(doc[a:b], return_inverse=True)
-        yield int(of[a]), flags, _pack(ids[used], keys[used], at.astype(np.uint32), pos[a:b].astype(np.uint32))
+        yield int(of[a]), flags, pack(ids[used], keys[used], at.astype(np.uint32), pos[a:b].astype(np.uint32))
 
 
 def _batch(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
@@ -121,14 +121,14 @@ def _joined(bucket: int, parts: list[list[np.ndarray]]) -> list[tuple[int, bool,
         return []
     base = np.cumsum([0, *(len(p[0]) for p in parts)])
     which = np.concatenate([p[2] + np.uint32(b) for p, b in zip(parts, base)])
-    return [(bucket, True, _pack(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)), which, np.concatenate([p[3] for p in parts])))]
+    return [(bucket, True, pack(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)), which, np.concatenate([p[3] for p in parts])))]
 
 
 def _meet(group: pa.Table) -> pa.Table:
     """The places, by buckets of documents, of hashes that came twice to this bucket or with a mark."""
     flags, blobs = group["flags"].to_pylist(), group["blob"].to_pylist()
-    rows = _joined(group["bucket"][0].as_py(), [_unpack(blob) for f, blob in zip(flags, blobs) if f])
-    parts = [_unpack(blob) for f, blob in zip(flags, blobs) if not f]
+    rows = _joined(group["bucket"][0].as_py(), [unpack(blob) for f, blob in zip(flags, blobs) if f])
+    parts = [unpack(blob) for f, blob in zip(flags, blobs) if not f]
     if parts:
         ids, keys, buckets = (np.concatenate([p[k] for p in parts]) for k in range(3))
         base = np.cumsum([0, *(len(p[0]) for p in parts)])
@@ -147,7 +147,7 @@ def _places(flags: pa.Table, ids: pa.Array, keys: pa.Array) -> list[np.ndarray |
     """For each document of a bucket its flagged places; documents alike in id and text share them."""
     found: dict[tuple[int, int], list[np.ndarray]] = {}
     for blob in flags["blob"].to_pylist():
-        own_ids, own_keys, which, pos = _unpack(blob)
+        own_ids, own_keys, which, pos = unpack(blob)
         cuts = np.searchsorted(which, np.arange(len(own_ids) + 1))
         for k, pair in enumerate(zip(own_ids.view(np.int64).tolist(), own_keys.view(np.int64).tolist())):
             found.setdefault(pair, []).append(pos[cuts[k] : cuts[k + 1]])

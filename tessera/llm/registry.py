@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontamination
+from .kneser_ney import op6_language_model
 from .merkle import op9_merkle
 from .mixing import op3_mixing
 from .near_dups import op8_simhash
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op3_mixing": op3_mixing,
         "op4_sharding": op4_sharding,
         "op5_toxicity": op5_toxicity,
+        "op6_language_model": op6_language_model,
         "op7_quality": op7_quality,
         "op8_simhash": op8_simhash,
         "op9_merkle": op9_merkle,
