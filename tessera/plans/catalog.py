@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import relational, scalar
 
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.where(F.col("o_totalprice") > 100000).groupBy(F.col("o_orderstatus").alias("key")).agg(F.sum("o_totalprice").alias("value"))
+FLAGSHIP = relational.status_totals
 
 
 def queries() -> dict:
-    return {}
+    return scalar.queries() | relational.queries()
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return scalar.oracle_sql() | relational.oracle_sql()
