@@ -11,6 +11,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 class BigInt(int):
@@ -68,7 +69,7 @@ def nfd(x):
     return [nfd(v) for v in x] if isinstance(x, list) else x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfd(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFD")
 
