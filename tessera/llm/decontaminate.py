@@ -163,8 +163,8 @@ def _merged(found: DataFrame, n_blocks: int) -> DataFrame:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, all columns, in which no benchmark span occurs.  Rows with null ids or texts are kept."""
-    hit = find_contamination(documents, benchmark, window).where(F.size("hits") > 0).select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key")).dropDuplicates()
-    on = documents["doc_id"].cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(documents["text"]) == F.col("_hit_key"))
+    hit = find_contamination(documents, benchmark, window).where(F.size("hits") > 0).select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key")).dropDuplicates()
+    on = documents["doc_id"].cast("long").eqNullSafe(F.col("__hit_id")) & (F.xxhash64(documents["text"]) == F.col("__hit_key"))
     return documents.join(hit, on, "left_anti")
 
 

@@ -140,9 +140,9 @@ def mix_documents(documents: DataFrame, **options) -> DataFrame:
     """documents, all columns, each row as often as a mix of whole documents takes it.  Rows alike in id and text share
     what they are taken, rounded."""
     plan = mix(documents, block_words=None, **options)
-    times = plan.groupBy(F.col("doc_id").alias("_mix_id"), F.col("text_key").alias("_mix_key")).agg(F.round(F.avg(F.size("shards"))).cast("int").alias("_mix_times")).where("_mix_times > 0")
-    on = documents["doc_id"].cast("long").eqNullSafe(F.col("_mix_id")) & (F.xxhash64(documents["text"]) == F.col("_mix_key"))
-    return documents.join(times, on).withColumn("_mix_times", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*documents.columns)
+    times = plan.groupBy(F.col("doc_id").alias("__mix_id"), F.col("text_key").alias("__mix_key")).agg(F.round(F.avg(F.size("shards"))).cast("int").alias("__mix_times")).where("__mix_times > 0")
+    on = documents["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")) & (F.xxhash64(documents["text"]) == F.col("__mix_key"))
+    return documents.join(times, on).withColumn("__mix_times", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).select(*documents.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

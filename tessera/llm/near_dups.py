@@ -213,8 +213,8 @@ def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = near_duplicates(documents, radius)
     firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_key").alias("_first"))
     behind = found.alias("f").join(firsts.alias("k"), F.col("f.component_id").eqNullSafe(F.col("k.component_id")))
-    behind = behind.where(~F.col("f.doc_id").eqNullSafe(F.col("f.component_id")) | (F.col("f.text_key") != F.col("_first"))).select(F.col("f.doc_id").alias("_gone_id"), F.col("f.text_key").alias("_gone_key")).dropDuplicates()
-    on = documents["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(documents["text"]) == F.col("_gone_key"))
+    behind = behind.where(~F.col("f.doc_id").eqNullSafe(F.col("f.component_id")) | (F.col("f.text_key") != F.col("_first"))).select(F.col("f.doc_id").alias("__gone_id"), F.col("f.text_key").alias("__gone_key")).dropDuplicates()
+    on = documents["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(documents["text"]) == F.col("__gone_key"))
     return documents.join(behind, on, "left_anti")
 
 

@@ -22,9 +22,9 @@ LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """documents with _size, _text and _id: the row's weight in bytes and the two halves of its key."""
+    """documents with __shard_size, __shard_text and __shard_id: the row's weight in bytes and the two halves of its key."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.withColumns({"_size": (F.octet_length(text) + FIXED_BYTES).cast("long"), "_text": F.xxhash64(text), "_id": F.xxhash64(F.col("doc_id").cast("string"))})
+    return documents.withColumns({"__shard_size": (F.octet_length(text) + FIXED_BYTES).cast("long"), "__shard_text": F.xxhash64(text), "__shard_id": F.xxhash64(F.col("doc_id").cast("string"))})
 
 
 def find_splitters(keys: DataFrame, n_parts: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -33,7 +33,7 @@ def find_splitters(keys: DataFrame, n_parts: int, tolerance: float = TOLERANCE)
     Each splitter has its share of the bytes below it to within tolerance of a part, or, where a single row or a group
     of rows alike in text and id is wider than that, the nearest key there is.
     """
-    total = keys.agg(F.sum("_size")).first()[0] or 0
+    total = keys.agg(F.sum("__shard_size")).first()[0] or 0
     if not total:
         return [(HIGH, HIGH)] * (n_parts - 1)
     slack = tolerance * total / n_parts
@@ -74,7 +74,7 @@ def _reached(starts: list[tuple[int, int]]) -> Column:
             return F.lit(low)
         mid = (low + high) // 2
         text, id_ = starts[mid]
-        past = (F.col("_text") > text) | ((F.col("_text") == text) & (F.col("_id") >= id_))
+        past = (F.col("__shard_text") > text) | ((F.col("__shard_text") == text) & (F.col("__shard_id") >= id_))
         return F.when(past, search(mid + 1, high)).otherwise(search(low, mid))
 
     return search(0, len(starts))
@@ -87,11 +87,11 @@ def _count(keys: DataFrame, intervals: list[tuple]) -> dict[int, list[tuple[int,
     pick = lambda values: F.try_element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.greatest(F.col("_k"), F.lit(1)))
     widths = [max(1, -(-(high - low + 1) >> SLICE_BITS)) for _, _, low, high, _ in ordered]
     rows = keys.withColumn("_k", _reached([(text if level else low, LOW) for level, text, low, _, _ in ordered])).where("_k > 0")
-    rows = rows.select("_k", "_size", "_text", F.when(pick([x[0] for x in ordered]) == 1, F.col("_id")).otherwise(F.col("_text")).alias("_key"), *(pick(v).alias(c) for c, v in (("level", [x[0] for x in ordered]), ("text", [x[1] for x in ordered]), ("low", [x[2] for x in ordered]), ("high", [x[3] for x in ordered]), ("width", widths))))
+    rows = rows.select("_k", "__shard_size", "__shard_text", F.when(pick([x[0] for x in ordered]) == 1, F.col("__shard_id")).otherwise(F.col("__shard_text")).alias("_key"), *(pick(v).alias(c) for c, v in (("level", [x[0] for x in ordered]), ("text", [x[1] for x in ordered]), ("low", [x[2] for x in ordered]), ("high", [x[3] for x in ordered]), ("width", widths))))
     # key - low may pass 2**63, so wide intervals are halved first; rounding in the quotient keeps the order of keys.
     place = F.when(F.col("width") > 2, F.floor((F.shiftright("_key", 1) - F.shiftright("low", 1)) / F.floor(F.col("width") / 2))).otherwise(F.col("_key") - F.col("low"))
-    inside = ((F.col("level") == 0) | (F.col("_text") == F.col("text"))) & F.col("_key").between(F.col("low"), F.col("high"))
-    counted = rows.where(inside).groupBy("_k", place.cast("long").alias("slice")).agg(F.sum("_size").alias("size"), F.min("_key").alias("least"), F.max("_key").alias("most"))
+    inside = ((F.col("level") == 0) | (F.col("__shard_text") == F.col("text"))) & F.col("_key").between(F.col("low"), F.col("high"))
+    counted = rows.where(inside).groupBy("_k", place.cast("long").alias("slice")).agg(F.sum("__shard_size").alias("size"), F.min("_key").alias("least"), F.max("_key").alias("most"))
     out: dict[int, list] = {}
     for r in counted.collect():
         out.setdefault(order[r["_k"] - 1], []).append((r["slice"], r["size"], r["least"], r["most"]))
@@ -105,17 +105,17 @@ def shard(documents: DataFrame, n_shards: int = N_SHARDS, tolerance: float = TOL
     of its own; rows alike in text and id stand in one shard, in either order; an empty table gives an empty one.
     Columns called size, text_crc32, shard or slot are replaced.
     """
-    keys = table(keyed(documents).select("_size", "_text", "_id"))
+    keys = table(keyed(documents).select("__shard_size", "__shard_text", "__shard_id"))
     each = max(1, -(-parallelism(documents.sparkSession) // n_shards))
     piece = _reached(find_splitters(keys, n_shards * each, tolerance * each))
     rows = {r[0]: r[1] for r in keys.groupBy(piece.alias("piece")).count().collect()}  # a row for each piece, at most
     before = [sum(rows.get(i, 0) for i in range(p - p % each, p)) for p in range(n_shards * each)]
-    base = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("_piece") + 1)
-    place = F.row_number().over(Window.partitionBy("_piece").orderBy("_text", "_id"))
-    found = keyed(documents).withColumn("_piece", piece).withColumns({
-        "size": F.col("_size"), "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")),
-    }).withColumns({"shard": F.floor(F.col("_piece") / each).cast("int"), "slot": base + place - 1})
-    return found.drop("_size", "_text", "_id", "_piece")
+    base = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("__shard_piece") + 1)
+    place = F.row_number().over(Window.partitionBy("__shard_piece").orderBy("__shard_text", "__shard_id"))
+    found = keyed(documents).withColumn("__shard_piece", piece).withColumns({
+        "size": F.col("__shard_size"), "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")),
+    }).withColumns({"shard": F.floor(F.col("__shard_piece") / each).cast("int"), "slot": base + place - 1})
+    return found.drop("__shard_size", "__shard_text", "__shard_id", "__shard_piece")
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
