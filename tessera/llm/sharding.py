@@ -82,11 +82,12 @@ def _reached(starts: list[tuple[int, int]]) -> Column:
 
 def _count(keys: DataFrame, intervals: list[tuple]) -> dict[int, list[tuple[int, int, int, int]]]:
     """For each interval, (slice, bytes, least key, largest key) of its slices that hold rows."""
-    order = sorted(range(len(intervals)), key=lambda k: (intervals[k][1] if intervals[k][0] else intervals[k][2]))
+    start = lambda x: (x[1], x[2]) if x[0] else (x[2], LOW)
+    order = sorted(range(len(intervals)), key=lambda k: start(intervals[k]))
     ordered = [intervals[k] for k in order]
     pick = lambda values: F.try_element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.greatest(F.col("_k"), F.lit(1)))
     widths = [max(1, -(-(high - low + 1) >> SLICE_BITS)) for _, _, low, high, _ in ordered]
-    rows = keys.withColumn("_k", _reached([(text if level else low, LOW) for level, text, low, _, _ in ordered])).where("_k > 0")
+    rows = keys.withColumn("_k", _reached([start(x) for x in ordered])).where("_k > 0")
     rows = rows.select("_k", "__shard_size", "__shard_text", F.when(pick([x[0] for x in ordered]) == 1, F.col("__shard_id")).otherwise(F.col("__shard_text")).alias("_key"), *(pick(v).alias(c) for c, v in (("level", [x[0] for x in ordered]), ("text", [x[1] for x in ordered]), ("low", [x[2] for x in ordered]), ("high", [x[3] for x in ordered]), ("width", widths))))
     # key - low may pass 2**63, so wide intervals are halved first; rounding in the quotient keeps the order of keys.
     place = F.when(F.col("width") > 2, F.floor((F.shiftright("_key", 1) - F.shiftright("low", 1)) / F.floor(F.col("width") / 2))).otherwise(F.col("_key") - F.col("low"))
