@@ -83,7 +83,9 @@ class Net:
     def gradients(self, f: dict, y: np.ndarray, weight: np.ndarray) -> dict:
         error = weight * (1 / (1 + np.exp(-np.clip(f["logit"], -30, 30))) - y) / weight.sum()
         doc = f["doc"]
-        to = error[doc, None] * (self.p["mean"] / f["chunks"][doc, None] + self.p["most"] * (f["pooled"] == f["most"][doc]))
+        top = f["pooled"] == f["most"][doc]  # chunks overlap, so one place may be the maximum of two: they share its part
+        top = top / np.add.reduceat(top, np.cumsum(f["chunks"]) - f["chunks"], dtype=float)[doc]
+        to = error[doc, None] * (self.p["mean"] / f["chunks"][doc, None] + self.p["most"] * top)
         to *= f["pooled"] > 0
         tables = np.zeros((WIDTH, 256, FILTERS))
         column = np.broadcast_to(np.arange(FILTERS), to.shape)
