@@ -123,8 +123,10 @@ def with_next(documents: DataFrame) -> DataFrame:
     cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5])).first()[0] or []
     docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(set(cuts)) + 1)).otherwise(_reached(sorted(set(cuts)), F.col("doc_id"))))
     heads = sorted((r[0], r[1]) for r in docs.groupBy("bucket").agg(F.min("doc_id")).collect())  # a row for each bucket
-    also = F.array_compact(F.array(F.lit(None).cast("int"), *[F.when((F.col("bucket") == b) & F.col("doc_id").eqNullSafe(F.lit(head)), F.lit(heads[k - 1][0])) for k, (b, head) in enumerate(heads)]))
-    to = F.concat(F.array(F.struct("bucket", F.lit(False).alias("last"))), F.transform(also, lambda b: F.struct(b.alias("bucket"), F.lit(True).alias("last"))))
+    before = documents.sparkSession.createDataFrame([(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)], "head long, before int")
+    docs = docs.join(F.broadcast(before), docs["doc_id"].eqNullSafe(before["head"]), "left")
+    also = F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("last")))
+    to = F.array_compact(F.array(F.struct("bucket", F.lit(False).alias("last")), also))
     dealt = docs.select("doc_id", "text", F.explode(to).alias("to")).select("to.bucket", "to.last", "doc_id", "text")
     return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "last", F.col("doc_id").asc_nulls_last(), "text")
 
