@@ -29,7 +29,7 @@ from .passages import pack, unpack
 from .shared import doc_bucket, parallelism, read, shared_dir
 from .words import SPACED, U, mix, text_blocks
 
-SALTS, FLUSH, ASK = 4, 2_000_000, 2_000_000
+SALTS, FLUSH, ASK = 4, 1_500_000, 1_000_000
 BEGIN, END = mix(np.array([0xB, 0xE], U))
 PACKED = "bucket int, blob binary"
 WORD_FIELDS = ("total", "kinds", "n1", "n2", "n3", "n4", "before", "count")
@@ -51,7 +51,12 @@ def save(folder: str, name: str, arrays: list[np.ndarray]) -> None:
         out.write(head.tobytes())
         for a in narrow:
             out.write(a.tobytes() + b"\0" * (-a.nbytes % 8))
-    fs.move(part, f"{top}/{name}")
+    try:
+        fs.move(part, f"{top}/{name}")
+    except OSError:
+        if fs.get_file_info(f"{top}/{name}").type != pyarrow.fs.FileType.File:
+            raise
+        fs.delete_file(part)  # another try of this task was first
 
 
 def mapped(folder: str, name: str) -> list[np.ndarray]:
