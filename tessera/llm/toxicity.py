@@ -27,7 +27,7 @@ from .shared import doc_bucket, map_batches, read
 from .words import LOWER, text_rows
 
 TOXIC, ORDINARY, DICTIONARY = 1500, 3000, 4096
-WINDOW, STRIDE, GRAM, THRESHOLD, FEATURES = 6, 3, 5, 0.7, 10
+WINDOW, STRIDE, GRAM, THRESHOLD, FEATURES = 10, 5, 5, 0.7, 10
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 TAIL = b" " + bytes(range(33, 65))
 SEARCH = zstandard.ZstdCompressionParameters(compression_level=3, strategy=5, min_match=5, hash_log=14, chain_log=14, search_log=9, window_log=14, write_checksum=False, write_content_size=False, write_dict_id=False)
