@@ -21,6 +21,12 @@ def by_pointer(children: DataFrame, pointer: str, child: str) -> DataFrame:
     return children.where(F.col(pointer).isNotNull()).select(F.col(pointer).alias("parent"), F.col(child).alias("child"))
 
 
+def owned(children: DataFrame, pointer: str) -> DataFrame:
+    """(parent, all columns of the child) of a pointer's reverse relation: what expand(by_pointer(...)) gives, without a
+    join, as the child's own row names its parent."""
+    return children.where(F.col(pointer).isNotNull()).select(F.col(pointer).alias("parent"), "*")
+
+
 def by_ids(parents: DataFrame, parent: str, ids: str) -> DataFrame:
     """Pairs (parent, child) of a stored list of ids, with position; repeated ids once."""
     return parents.select(F.col(parent).alias("parent"), F.posexplode(F.array_distinct(ids)).alias("position", "child"))

@@ -45,7 +45,7 @@ def _money(c):
 
 
 def _items_of_orders(t) -> DataFrame:
-    return relations.expand(relations.by_pointer(t("orders"), "o_custkey", "o_orderkey"), t("orders"), "o_orderkey")
+    return relations.owned(t("orders"), "o_custkey")
 
 
 @query("030_group_find", "select o_orderstatus as key, round(sum(o_totalprice), 2) + 0.0 as value from orders where o_totalprice > 100000 group by 1")
@@ -60,8 +60,7 @@ def _(spark, t):
 
 @query("002_relation_scan", "select o_orderkey from orders where o_custkey = 7")
 def _(spark, t):
-    pairs = relations.by_pointer(t("orders"), "o_custkey", "o_orderkey")
-    return relations.related_by(t("orders"), "o_orderkey", pairs, 7).select("o_orderkey")
+    return _items_of_orders(t).where(F.col("parent") == 7).select("o_orderkey")
 
 
 @query("021_find", "select c_custkey, c_name from customer where c_acctbal > 500 and c_mktsegment = 'BUILDING'")
