@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import redirect_stdout
+from io import StringIO
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -50,5 +52,13 @@ def batches(df: DataFrame, keys: list[str], size: int = 100) -> Iterator[list[Ro
             return
 
 
+def explained(df: DataFrame, mode: str = "formatted") -> str:
+    """The text that df.explain(mode) prints."""
+    text = StringIO()
+    with redirect_stdout(text):
+        df.explain(mode)
+    return text.getvalue()
+
+
 def exists(df: DataFrame) -> bool:
     return not df.limit(1).isEmpty()

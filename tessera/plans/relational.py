@@ -524,6 +524,51 @@ def _(spark, t):
     return first.select("o_orderkey")
 
 
+@query("003_insecure_scan", "select c_custkey, c_nationkey from customer")
+def _(spark, t):
+    rules = access.Rules(secure_fields=("c_nationkey",))
+    return t("customer").select(*access.readable_fields(t("customer"), access.Viewer(master=True), rules, ["c_custkey", "c_nationkey"]))
+
+
+@query("007_rebuilt_columns", "select n_nationkey::double as n_nationkey, n_name, null::varchar as extra from nation")
+def _(spark, t):
+    return tables.rebuilt(t("nation"), spark.createDataFrame([], "n_nationkey double, n_name string, extra string").schema)
+
+
+@query("009_catalog", "select 'version' as kind, true as some union all select 'databases', true")
+def _(spark, t):
+    found = tables.catalog(spark)
+    return spark.createDataFrame([(k, bool(found[k])) for k in ("version", "databases")], "kind string, some boolean")
+
+
+@query("026_explain", "select true as pushed")
+def _(spark, t):
+    return spark.createDataFrame([("PushedFilters: [IsNotNull(c_acctbal)" in ordering.explained(t("customer").where("c_acctbal > 5")),)], "pushed boolean")
+
+
+@query("029_random_one", "select 1::bigint as n")
+def _(spark, t):
+    one = ordering.page(ordering.shuffled(t("customer")), limit=1)
+    return one.join(t("customer").select("c_custkey"), "c_custkey", "left_semi").agg(aggregates.count().alias("n"))
+
+
+@query("036_sort_by_expression", "select c_custkey from (select c_custkey, row_number() over (order by abs(c_acctbal - 1000), c_custkey) as r from customer) where r <= 30")
+def _(spark, t):
+    return ordering.page(ordering.sort(t("customer"), (F.abs(F.col("c_acctbal") - 1000), 1), ("c_custkey", 1)), limit=30).select("c_custkey")
+
+
+@query("222_class_permission", "select 'find' as action, false as allowed union all select 'get', true")
+def _(spark, t):
+    rules, seen = access.Rules(class_level={"find": ["role:admin"]}), []
+    for action in ("find", "get"):
+        try:
+            access.check_class(access.Viewer(user="u1"), rules, action)
+            seen.append((action, True))
+        except PermissionError:
+            seen.append((action, False))
+    return spark.createDataFrame(seen, "action string, allowed boolean")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
