@@ -81,6 +81,13 @@ def readable_fields(df: DataFrame, viewer: Viewer, rules: Rules, asked: list[str
     return list(asked)
 
 
+def check_fields(viewer: Viewer, rules: Rules, names: list[str], action: str) -> None:
+    """Raises if one of the fields may not be set on "create" or "update"."""
+    for name in names if not viewer.master else ():
+        if name in rules.secure_fields or not set(rules.field_level.get(name, {}).get(action, ["*"])) & set(viewer.grants):
+            raise PermissionError(f"No permission: {name}")
+
+
 def visible(df: DataFrame, viewer: Viewer, rules: Rules = Rules(), action: str = "read") -> DataFrame:
     """df without the rows that have expired or are not allowed.  Apply it to each side before a join."""
     if "_expired_at" in df.columns:

@@ -58,6 +58,11 @@ def collect_garbage(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     return delete(table, F.col("_expired_at") < F.current_timestamp())
 
 
+def taken(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Rows to insert whose id the table has already; they need another id."""
+    return rows.join(table.select(F.col(key).alias("_k")), rows[key] == F.col("_k"), "left_semi")
+
+
 def duplicates(table: DataFrame, keys: list[str]) -> DataFrame:
     """Values of a unique index that occur more than once; rows with a null in them are not indexed."""
     known = table

@@ -97,8 +97,8 @@ def references(classes: dict[str, tuple[DataFrame, str, list[str], list[str]]])
             to = F.explode(column) if column in lists else F.col(column)
             one = df.select(F.lit(name).alias("class"), F.col(key).cast("string").alias("id"), to.cast("string").alias("target")).where("target is not null")
             out = one if out is None else out.unionByName(one)
-    if out is None:
-        raise ValueError("no class has a pointer or a relation")
+    if out is None:  # no class refers to any
+        return next(iter(classes.values()))[0].sparkSession.createDataFrame([], "class string, id string, target string")
     return out.dropDuplicates()
 
 

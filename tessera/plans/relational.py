@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions.vectors import distance
 from ..operators import access, aggregates, matching, mutations, ordering, relations
-from ..sources import files, tables
+from ..operators.updates import element, field
+from ..sources import codec, files, tables
 from ..streaming import changes
 from .scalar import HERE, here
 
@@ -34,12 +34,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that executors share; only where none is set, one of this machine."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")
-    return f"{top.rstrip('/')}/scratch/{uuid.uuid4().hex}"
-
-
 def _money(c):
     return F.round(c, 2) + 0.0
 
@@ -323,7 +317,12 @@ def _(spark, t):
 @query("120_most", "select n_regionkey, min(seg) as most from (select n_regionkey, c_mktsegment as seg, rank() over (partition by n_regionkey order by count(*) desc) as r from customer join nation on c_nationkey = n_nationkey group by 1, 2) where r = 1 group by 1")
 def _(spark, t):
     joined = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy("n_regionkey").agg(aggregates.most("c_mktsegment").alias("most"))
+    return aggregates.most_of(joined, ["n_regionkey"], "c_mktsegment", "most")
+
+
+@query("120_most_inline", "select c_nationkey, min(seg) as most from (select c_nationkey, c_mktsegment as seg, rank() over (partition by c_nationkey order by count(*) desc) as r from customer group by 1, 2) where r = 1 group by 1")
+def _(spark, t):
+    return t("customer").groupBy("c_nationkey").agg(aggregates.most("c_mktsegment").alias("most"))
 
 
 @query("121_124_spread", "select o_orderstatus, round(stddev_pop(o_totalprice), 2) as sp, round(stddev_samp(o_totalprice), 2) as ss, round(var_pop(o_totalprice / 1000), 2) as vp, round(var_samp(o_totalprice / 1000), 2) as vs from orders group by 1")
@@ -334,7 +333,18 @@ def _(spark, t):
 
 @query("125_percentile_continuous", "select o_orderstatus, round(quantile_cont(o_totalprice, 0.3), 2) as value from orders group by 1")
 def _(spark, t):
-    return t("orders").groupBy("o_orderstatus").agg(F.round(aggregates.percentile_continuous("o_totalprice", 0.3), 2).alias("value"))
+    found = aggregates.percentile_continuous_of(t("orders"), ["o_orderstatus"], "o_totalprice", 0.3, "value")
+    return found.withColumn("value", F.round("value", 2))
+
+
+@query("125_percentile_inline", "select o_orderpriority, round(quantile_cont(o_totalprice, 0.3), 2) as value from orders group by 1")
+def _(spark, t):
+    return t("orders").groupBy("o_orderpriority").agg(F.round(aggregates.percentile_continuous("o_totalprice", 0.3), 2).alias("value"))
+
+
+@query("126_percentile_of_all", "select min(o_totalprice) as value from (select o_totalprice, row_number() over (order by o_totalprice) as r, count(*) over () as n from orders) where r >= ceil(0.9 * n)")
+def _(spark, t):
+    return aggregates.percentile_discrete(t("orders"), [], "o_totalprice", 0.9, "value")
 
 
 @query("126_percentile_discrete", "select o_orderstatus, list_sort(list(o_orderpriority))[greatest(ceil(0.3 * count(o_orderpriority)), 1)::bigint] as value from orders group by 1")
@@ -493,7 +503,7 @@ def _(spark, t):
 
 def _streamed(spark, t, select) -> DataFrame:
     """The rows a stream of the events table gives, read back from the table it was written to."""
-    path = scratch(spark)
+    path = tables.scratch(spark)
     source = spark.readStream.schema(t("events").schema).parquet(_glob(t("events").inputFiles()[0]))
     out = select(source)
     query = changes.to_table(out, path, path + "-checkpoint")
@@ -569,6 +579,112 @@ def _(spark, t):
     return spark.createDataFrame(seen, "action string, allowed boolean")
 
 
+@query("006_create_table", "select 'key' as name, 'bigint' as kind union all select 'label', 'string'")
+def _(spark, t):
+    name = f"made_{uuid.uuid4().hex}"
+    tables.create(spark, name, spark.createDataFrame([], "key long, label string").schema, bucketed=(4, "key"))
+    try:
+        found = spark.table(name).dtypes
+    finally:
+        spark.sql(f"drop table {name}")
+    return spark.createDataFrame(found, "name string, kind string")
+
+
+@query("011_wire_rows", """select o_orderkey, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_orderdate":{"$date":' || epoch_ms(o_orderdate) || '},"price":{"$decimal":"' || o_totalprice::decimal(18, 2) || '"}}' as wire from orders""")
+def _(spark, t):
+    rows = t("orders").select("o_orderkey", "o_orderstatus", "o_orderdate", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    return rows.select("o_orderkey", codec.wire_row(rows).alias("wire"))
+
+
+@query("012_json_value", "select event_id, json(props)::varchar as props from events")
+def _(spark, t):
+    return t("events").select("event_id", F.to_json(F.try_parse_json("props")).alias("props"))
+
+
+@query("034_filters", "select c_custkey from customer where c_acctbal > 0 and c_nationkey < 10 and c_mktsegment <> 'BUILDING'")
+def _(spark, t):
+    return t("customer").where(F.col("c_acctbal") > 0).where(F.col("c_nationkey") < 10).where(P.not_equal(F.col("c_mktsegment"), "BUILDING")).select("c_custkey")
+
+
+@query("044_upsert_existing", "select c_custkey, case when c_nationkey = 3 then 'x' else c_name end as c_name from customer")
+def _(spark, t):
+    new = spark.createDataFrame([(-2,)], "c_custkey long")
+    return mutations.upsert(t("customer"), F.col("c_nationkey") == 3, {"c_name": F.lit("x")}, new)[0].select("c_custkey", "c_name")
+
+
+@query("048_fetch_with_include", "select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey where c_custkey = 12")
+def _(spark, t):
+    one = t("customer").where(P.equal(F.col("c_custkey"), 12)).limit(1)
+    return relations.with_pointer(one, "c_nationkey", t("nation"), "n_nationkey", "nation").select("c_custkey", "nation.n_name")
+
+
+@query("062_subset_on_relation", "select o_custkey as parent from orders group by 1 having list_has_all(['1-URGENT', '2-HIGH', '3-MEDIUM'], list(distinct o_orderpriority))")
+def _(spark, t):
+    sets = _items_of_orders(t).groupBy("parent").agg(F.collect_set("o_orderpriority").alias("has"))
+    return sets.where(P.subset(F.col("has"), ["1-URGENT", "2-HIGH", "3-MEDIUM"])).select("parent")
+
+
+@query("092_anti_join", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
+def _(spark, t):
+    urgent = _items_of_orders(t).where(F.col("o_orderpriority") == "1-URGENT")
+    return relations.having_every(t("customer"), "c_custkey", urgent, F.lit(False)).select("c_custkey")
+
+
+@query("093_returned_with_includes", "select c_custkey, (select n_name from nation where n_nationkey = 0) as n_name from customer where c_acctbal < 0")
+def _(spark, t):
+    returned = mutations.update(t("customer"), F.col("c_acctbal") < 0, {"c_nationkey": F.lit(0)})[1]
+    return relations.with_pointer(returned, "c_nationkey", t("nation"), "n_nationkey", "nation").select("c_custkey", "nation.n_name")
+
+
+@query("099_match_filter", "select o_custkey as parent, o_orderkey from orders where o_totalprice > 250000")
+def _(spark, t):
+    return matching.match(_items_of_orders(t), F.col("o_totalprice") > 250000).select("parent", "o_orderkey")
+
+
+@query("103_merged_matches", "select parent, o_orderkey from (select o_custkey as parent, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders where o_orderstatus = 'F' and o_totalprice > 50000) where r <= 2")
+def _(spark, t):
+    by_price = [matching.descending("o_totalprice"), matching.ascending("o_orderkey")]
+    options = matching.merged({}, {"where": F.col("o_orderstatus") == "F", "sort": by_price, "limit": 5}, {"where": F.col("o_totalprice") > 50000, "limit": 2})
+    return matching.match(_items_of_orders(t), **options).select("parent", "o_orderkey")
+
+
+@query("201_set_in_vector", "select vec_id, round(list_sum(list_transform(embedding::double[], lambda x, i: case when i = 3 then 1.0 else x end)), 4) + 0.0 as value from embeddings")
+def _(spark, t):
+    changed = element(F.col("embedding").cast("array<double>"), 2, lambda x: F.lit(1.0))
+    return t("embeddings").select("vec_id", (F.round(F.aggregate(changed, F.lit(0.0), lambda s, x: s + x), 4) + 0.0).alias("value"))
+
+
+@query("201_set_in_shape", "select c_custkey, c_name, 'none' as segment from customer")
+def _(spark, t):
+    shaped = t("customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).alias("shape"))
+    after = mutations.update(shaped, F.lit(True), {"shape": field(F.col("shape"), "segment", F.lit("none"))})[0]
+    return after.select("c_custkey", F.col("shape.name").alias("c_name"), "shape.segment")
+
+
+@query("215_taken_ids", "select c_custkey from customer where c_custkey < 20")
+def _(spark, t):
+    rows = spark.range(-10, 20).select(F.col("id").alias("c_custkey"))
+    return mutations.taken(t("customer"), rows, "c_custkey")
+
+
+@query("223_fields_to_write", "select 'create' as action, true as allowed union all select 'update', false")
+def _(spark, t):
+    rules, seen = access.Rules(field_level={"c_acctbal": {"update": ["role:admin"]}}), []
+    for action in ("create", "update"):
+        try:
+            access.check_fields(access.Viewer(user="u1"), rules, ["c_name", "c_acctbal"], action)
+            seen.append((action, True))
+        except PermissionError:
+            seen.append((action, False))
+    return spark.createDataFrame(seen, "action string, allowed boolean")
+
+
+@query("224_joined_rules", "select n_nationkey, count(c_custkey) as n from nation left join customer on c_nationkey = n_nationkey and (c_custkey % 3 = 0 or c_mktsegment = 'BUILDING') group by 1")
+def _(spark, t):
+    seen = access.visible(_SIGNED(t), access.Viewer(user="u1", names=("building",)))
+    return relations.with_size(t("nation"), "n_nationkey", relations.owned(seen, "c_nationkey"), "n").select("n_nationkey", "n")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

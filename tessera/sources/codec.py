@@ -9,7 +9,7 @@ import unicodedata
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -60,6 +60,20 @@ def deserialize(s: str):
     return untagged(json.loads(s))
 
 
+def wire_row(df: DataFrame) -> Column:
+    """Each row as JSON text in the wire form: timestamps, days and decimals tagged, other kinds as they are, nulls left out."""
+
+    def part(name: str, kind: str) -> Column:
+        c = F.col(name)
+        if kind in ("timestamp", "timestamp_ntz", "date"):
+            return F.when(c.isNotNull(), F.struct(F.unix_millis(c.cast("timestamp")).alias("$date"))).alias(name)
+        if kind.startswith("decimal"):
+            return F.when(c.isNotNull(), F.struct(c.cast("string").alias("$decimal"))).alias(name)
+        return c.alias(name)
+
+    return F.to_json(F.struct(*(part(n, k) for n, k in df.dtypes)))
+
+
 def nfd(x):
     """Text, also within lists and objects, in the decomposed form in which it is stored and compared."""
     if isinstance(x, str):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,20 @@ def read(spark: SparkSession, path: str, schema=None, defaults: dict | None = No
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in (defaults or {}).items()}) if defaults else df
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh path in the folder that executors share; only where none is set, one of this machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")
+    return f"{top.rstrip('/')}/scratch/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, so that all that is made of it sees the same rows and partitions'
+    numbers, also after an executor is lost."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, fetch: int = 1000, **options) -> DataFrame:
     """A database table in ranges of a numeric key, read in parallel with a cursor's batch size."""
     return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=parts, properties={"fetchsize": str(fetch), **options})

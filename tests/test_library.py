@@ -91,6 +91,38 @@ def test_percentiles_and_mode(spark):
     assert spark.createDataFrame([(3,), (5,), (5,), (5,), (7,)], "x int").agg(aggregates.most("x")).first()[0] == 5
 
 
+def test_ranks_over_ranges(spark):
+    """Against sorted lists: null and rare groups, ties, null values, very frequent values, texts, and no rows."""
+    rows = [(None if k % 7 == 0 else "a" if k % 3 else "b", None if k % 11 == 0 else float(k * k % 50) if k % 2 else 7.0) for k in range(900)] + [("one", 4.0), ("none", None)]
+    df, groups = spark.createDataFrame(rows, "g string, x double").repartition(5), {}
+    for g, v in rows:
+        if v is not None:
+            groups.setdefault(g, []).append(v)
+    for p in (0.0, 0.3, 0.5, 1.0):
+        got = {r["g"]: r["p"] for r in aggregates.percentile_discrete(df, ["g"], "x", p, "p").collect()}
+        assert got == {g: sorted(v)[max(-int(-p * len(v) // 1), 1) - 1] for g, v in groups.items()}
+        got = {r["g"]: r["p"] for r in aggregates.percentile_continuous_of(df, ["g"], "x", p, "p").collect()}
+        for g, v in groups.items():
+            v, at = sorted(v), p * (len(v) - 1)
+            low = int(at)
+            assert got[g] == pytest.approx(v[low] + (v[min(low + 1, len(v) - 1)] - v[low]) * (at - low))
+    whole = sorted(v for own in groups.values() for v in own)
+    assert aggregates.percentile_continuous_of(df, [], "x", 0.5, "p").first()["p"] == pytest.approx((whole[(len(whole) - 1) // 2] + whole[len(whole) // 2]) / 2)
+    assert {r["g"]: r["m"] for r in aggregates.most_of(df, ["g"], "x", "m").collect()} == {g: min(set(v), key=lambda u: (-v.count(u), u)) for g, v in groups.items()}
+    assert aggregates.percentile_discrete(spark.createDataFrame([("x",), ("y",), ("z",)], "s string"), [], "s", 0.5, "p").first()["p"] == "y"
+    assert aggregates.percentile_discrete(df.limit(0), ["g"], "x", 0.5, "p").collect() == [] and aggregates.percentile_discrete(df.limit(0), [], "x", 0.5, "p").first()["p"] is None
+
+
+def test_references_of_no_class(spark):
+    lone = spark.createDataFrame([(1,)], "id int")
+    assert relations.refs({"Lone": (lone, "id", [], [])}, 1).collect() == [] and relations.nonrefs(lone, "id", {"Lone": (lone, "id", [], [])}).count() == 1
+
+
+def test_wire_rows(spark):
+    df = spark.createDataFrame([(1, dt.datetime(1970, 1, 1, 0, 0, 1), Decimal("0.5"), "é"), (None, None, None, None)], "n int, t timestamp, d decimal(9,3), s string")
+    assert values(df, codec.wire_row(df)) == ['{"n":1,"t":{"$date":1000},"d":{"$decimal":"0.500"},"s":"é"}', "{}"]
+
+
 def test_group_find_of_nothing(spark):
     df = spark.createDataFrame([], "k string, v double")
     r = aggregates.group_find(df, {"n": aggregates.count(), "s": F.sum("v")}, {"g": (F.col("k"), F.sum("v"))}).first()
