@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 
@@ -324,19 +325,67 @@ def test_passages(spark, edges, edge_rows):
     assert {(a - b) % passages.PERIOD for a in passages.COVER for b in passages.COVER} == set(range(passages.PERIOD))
 
 
+def hit_by(words: list[str], spans: dict[int, set]) -> bool:
+    return any(tuple(words[p : p + n]) in own for n, own in spans.items() for p in range(len(words) - n + 1))
+
+
 def test_pipeline(spark):
+    """Each stage, on what the one before it kept, against brute force."""
     import corpus_pipeline
 
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    spans = defaultdict(set)
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = alnum(r["text"])
+        for s in range(max(1, len(w) - 9) if w else 0):
+            spans[min(10, len(w))].add(tuple(w[s : s + 10]))
+
+    def toxicity_stage(rows):
+        score = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
+        ordinary = {r["doc_id"] for r in labels.where("toxic = 0").collect()}
+        kept = {i for i, s in score.items() if s < 0.7}
+        assert len(kept & ordinary) >= 0.98 * len(ordinary & set(score))
+        return Counter(kept)
+
+    def near_duplicates_stage(rows):
+        first: dict[int, int] = {}
+        for r, c in zip(rows, linked([simhash(r["text"]) for r in rows], 4)):
+            first[c] = min(first.get(c, r["doc_id"]), r["doc_id"])
+        return Counter(first.values())
+
+    def decontamination_stage(rows):
+        return Counter(r["doc_id"] for r in rows if not hit_by(alnum(r["text"]), spans))
+
+    def mixing_stage(rows):
+        size, sums, taken = {r["doc_id"]: len(spaced(r["text"])) for r in rows}, defaultdict(int), defaultdict(int)
+        for r in rows:
+            sums[r["source"]] += size[r["doc_id"]]
+            taken[r["source"]] += size[r["doc_id"]] * got[r["doc_id"]]
+        want, widest = water_level(sums), {s: max(size[r["doc_id"]] for r in rows if r["source"] == s) for s in sums}
+        assert all(abs(taken[s] - want[s]) <= widest[s] for s in sums) and max(got.values()) <= 2 and set(got) <= set(size)
+        return got
+
+    def sharding_stage(rows):
+        by = defaultdict(list)
+        for r in out.collect():
+            by[r["shard"]].append(r["slot"])
+            assert r["text_crc32"] == zlib.crc32((r["text"] or "").encode()) and 0 <= r["shard"] < 40
+        assert all(sorted(own) == list(range(len(own))) for own in by.values())
+        return Counter(r["doc_id"] for r in rows)
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, before = docs.columns, docs.count()
+    columns = docs.columns
+    wanted = {"toxicity": toxicity_stage, "near_duplicates": near_duplicates_stage, "decontamination": decontamination_stage, "mixing": mixing_stage, "sharding": sharding_stage}
+    assert [name for name, _ in corpus_pipeline.STAGES] == list(wanted)
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF)
-        if name != "sharding":
-            assert out.columns == columns
         path = f"{spark.conf.get('spark.checkpoint.dir')}/pipeline-{name}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-        if name in ("toxicity", "near_duplicates", "decontamination"):
-            assert 0.5 * before < docs.count() <= before
-            before = docs.count()
-    assert {"shard", "slot"} <= set(docs.columns)
+        stage(spark, docs, SF).write.parquet(path)
+        out = spark.read.parquet(path)
+        if name == "sharding":
+            assert {"size", "text_crc32", "shard", "slot"} <= set(out.columns)
+        else:
+            assert out.columns == columns
+        got = Counter(r["doc_id"] for r in out.select("doc_id").collect())
+        assert got == wanted[name](docs.collect())
+        docs = out
+    assert sum(got.values()) > 100
