@@ -9,6 +9,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 @dataclass(frozen=True)
 class Viewer:
@@ -98,15 +100,18 @@ def visible(df: DataFrame, viewer: Viewer, rules: Rules = Rules(), action: str =
 def inherited_roles(members: DataFrame, roles: DataFrame) -> DataFrame:
     """(user, role): roles a user is in, and all that hold those roles, to any depth.
 
-    members has (role, user), roles has (role, holds): a role and one whose members it takes in.  Steps end when
-    one finds no new pair, so cycles do no harm."""
-    spark = members.sparkSession
-    known = members.select("user", "role").dropDuplicates()
-    fresh = known
-    while not fresh.isEmpty():
-        step = fresh.withColumnRenamed("role", "holds").join(roles, "holds").select("user", "role").dropDuplicates()
-        fresh = step.join(known, ["user", "role"], "left_anti")
-        if spark.sparkContext.getCheckpointDir():
-            fresh = fresh.checkpoint()
-        known = known.unionByName(fresh)
-    return known
+    members has (role, user), roles has (role, holds): a role and one whose members it takes in.  Ways between roles double
+    in length with each round, so a chain of a thousand roles takes ten; rounds end when one finds no new pair, so cycles
+    do no harm.  Members are joined once, when all ways are known."""
+    ways = written(roles.select(F.col("holds").alias("from"), F.col("role").alias("to")).where("`from` is not null and `to` is not null").dropDuplicates())
+    n = ways.count()
+    while True:
+        on = ways.select(F.col("from").alias("to"), F.col("to").alias("end"))
+        longer = ways.join(on, "to").select("from", F.col("end").alias("to"))
+        ways, before = written(ways.unionByName(longer).dropDuplicates()), n
+        n = ways.count()
+        if n == before:
+            break
+    own = members.select("user", "role")
+    above = own.join(ways, own["role"] == ways["from"]).select("user", F.col("to").alias("role"))
+    return own.unionByName(above).dropDuplicates()

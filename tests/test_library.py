@@ -210,3 +210,11 @@ def test_handlers_of_events(spark, tmp_path):
     q = changes.on_events(stream, str(tmp_path / "cp"), {k: (lambda df, k=k: seen[k].extend(values(df, "id"))) for k in seen}, once=True)
     q.awaitTermination()
     assert sorted(seen["create"]) == [1, 3] and seen["update"] == [2]
+
+
+def test_inherited_roles(spark):
+    members = spark.createDataFrame([("u", "a"), ("v", "c"), ("w", "lone"), ("w", None), ("u", "a")], "user string, role string")
+    roles = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("d", "c"), (None, "d"), ("e", None)], "role string, holds string")
+    got = sorted(map(tuple, access.inherited_roles(members, roles).where("role is not null").collect()))
+    assert got == sorted([("u", r) for r in "abcd"] + [("v", r) for r in "abcd"] + [("w", "lone")])
+    assert access.inherited_roles(members, roles.limit(0)).count() == 4
