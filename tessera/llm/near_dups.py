@@ -171,8 +171,8 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable from every node that has a link, by alternating large and small stars.
 
-    Each round is two aggregates that combine before they shuffle and two joins on a node; a hub's many links are rows of
-    an ordinary join, which Spark splits when it is skewed.  Rounds end when the links no longer change.
+    Each round is two aggregates that combine before they shuffle and two joins on a node; a hub's links, one for
+    each distinct fingerprint, meet in one task of each join, which may spill.  Rounds end when the links no longer change.
     """
     edges, state = table(edges.select("u", "v")), None
     while True:
