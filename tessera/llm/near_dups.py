@@ -188,12 +188,17 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _placed(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """fp, first_id (its smallest doc_id) and root (the least fingerprint reachable over links) of every fingerprint."""
+    firsts = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(links(firsts.select("fp"), radius, blocks))
+    return firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def classes(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """prints (doc_id, fp, ...) with component_id: the smallest doc_id reachable over links.  Null ids count only where
     a class has no other."""
-    firsts = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(firsts.select("fp"), radius, blocks))
-    placed = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    placed = _placed(prints, radius, blocks)
     ids = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return prints.join(placed.join(ids, "root").select("fp", "component_id"), "fp")
 
@@ -208,14 +213,23 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, blocks: int = BL
 
 
 def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents, all columns, without those that stand behind another of their class: the smallest doc_id stays and,
-    of different texts under that id, the one with the smallest hash.  Rows alike in id and text are one document."""
-    found = near_duplicates(documents, radius)
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_key").alias("_first"))
-    behind = found.alias("f").join(firsts.alias("k"), F.col("f.component_id").eqNullSafe(F.col("k.component_id")))
-    behind = behind.where(~F.col("f.doc_id").eqNullSafe(F.col("f.component_id")) | (F.col("f.text_key") != F.col("_first"))).select(F.col("f.doc_id").alias("__gone_id"), F.col("f.text_key").alias("__gone_key")).dropDuplicates()
-    on = documents["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(documents["text"]) == F.col("__gone_key"))
-    return documents.join(behind, on, "left_anti")
+    """The documents, all columns, without those that stand behind another of their class (see one_of_each)."""
+    prints = table(fingerprints(documents))
+    return one_of_each(documents, prints.join(_placed(prints, radius, BLOCKS).select("fp", "root"), "fp"))
+
+
+def one_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of documents, all columns, for each root in found (doc_id, text_key, root; a row for each of documents):
+    the smallest doc_id, nulls last; of different texts under that id the one with the smallest hash; of rows alike in
+    id and text any one.  Documents of different roots never stand behind each other, whatever their ids."""
+    alike = table(found.groupBy("doc_id", "text_key").agg(F.first("root").alias("root"), F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    ranked = alike.join(alike.groupBy("root").agg(F.min(order).alias("best")), "root")
+    ranked = ranked.withColumn("first", F.col("text_key").eqNullSafe(F.col("best.text_key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
+    told = table(ranked.where("not first or n > 1").select(F.col("doc_id").alias("__one_id"), F.col("text_key").alias("__one_key"), "first"))
+    on = documents["doc_id"].cast("long").eqNullSafe(F.col("__one_id")) & (F.xxhash64(documents["text"]) == F.col("__one_key"))
+    repeated = documents.join(told.where("first").drop("first"), on).dropDuplicates(["__one_id", "__one_key"]).select(*documents.columns)
+    return documents.join(told, on, "left_anti").unionByName(repeated)
 
 
 def hex_of(fp: Column) -> Column:
