@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.mixing import mix_documents
-from tessera.llm.near_dups import keep_one
 from tessera.llm.shared import read, table
 from tessera.llm.sharding import shard
+from tessera.llm.similar import keep_one
 from tessera.llm.toxicity import keep_civil
 
 
@@ -22,7 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the smallest id."""
+    """One document of each class of near-duplicates, 0.8 alike or more by their sets of 5 words: the smallest id."""
     return keep_one(docs)
 
 
