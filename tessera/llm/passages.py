@@ -22,11 +22,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parallelism, read
+from .shared import parallelism, read, table
 from .words import SPACED, WORD_BASES, Block, U, between, mix, prefix, text_blocks
 
 WINDOW, PERIOD, COVER = 35, 21, (0, 1, 4, 14, 16)
 FLUSH = 1_000_000
+#: Texts of one bucket on average, and of rows alike in id and text in it, at most.
+BUCKET_BYTES, ALIKE_BYTES, ALIKE_ROWS = 1 << 27, 1 << 26, 1000
 MARK = 0xFFFFFFFF
 PACKED = "bucket int, flags boolean, blob binary"
 
@@ -143,14 +145,19 @@ def _meet(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(rows)])
 
 
-def _places(flags: pa.Table, ids: pa.Array, keys: pa.Array) -> list[np.ndarray | None]:
-    """For each document of a bucket its flagged places; documents alike in id and text share them."""
+def _flagged(flags: pa.Table) -> dict[tuple[int, int], list[np.ndarray]]:
+    """The flagged places of a bucket's documents, by id and text hash."""
     found: dict[tuple[int, int], list[np.ndarray]] = {}
     for blob in flags["blob"].to_pylist():
         own_ids, own_keys, which, pos = unpack(blob)
         cuts = np.searchsorted(which, np.arange(len(own_ids) + 1))
         for k, pair in enumerate(zip(own_ids.view(np.int64).tolist(), own_keys.view(np.int64).tolist())):
             found.setdefault(pair, []).append(pos[cuts[k] : cuts[k + 1]])
+    return found
+
+
+def _places(found: dict[tuple[int, int], list[np.ndarray]], ids: pa.Array, keys: pa.Array) -> list[np.ndarray | None]:
+    """For each document its flagged places; documents alike in id and text share them."""
     none = np.iinfo(np.int64).min  # packs a null id
     return [np.concatenate(x) if (x := found.get((none if i is None else i, k))) else None for i, k in zip(ids.to_pylist(), keys.to_pylist())]
 
@@ -160,11 +167,6 @@ def _arrays(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids.astype(np.int64).view(U), batch.column(1).to_numpy().astype(np.int64).view(U), batch.column(2).to_numpy().astype(np.uint32)
 
 
-def _flat(table: pa.Table) -> pa.RecordBatch:
-    table = table.combine_chunks()
-    return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=table.schema)
-
-
 def anchors(docs: DataFrame, window: int, n_buckets: int) -> DataFrame:
     """The anchors at cover places of every document."""
     width = window - PERIOD + 1
@@ -193,10 +195,15 @@ def repeated_windows(docs: DataFrame, flagged: DataFrame, window: int, n_buckets
     """Extends flagged anchors: the hash of every window that holds one where it may lie in a match."""
 
     def each(_key, texts: pa.Table, flags: pa.Table) -> pa.Table:
-        batch = _flat(texts)
+        flagged_places, found, out = _flagged(flags), _Found(n_buckets), []
+        for batch in texts.to_batches():
+            out += one(batch, flagged_places, found)
+        out += found.flush()
+        return pa.Table.from_batches(out or [_batch([])])
+
+    def one(batch: pa.RecordBatch, flagged_places: dict, found: _Found) -> Iterator[pa.RecordBatch]:
         ids, keys, buckets = _arrays(batch)
-        places = _places(flags, batch.column(0), batch.column(1))
-        found, out = _Found(n_buckets), []
+        places = _places(flagged_places, batch.column(0), batch.column(1))
         for at, block in text_blocks(batch.column(3), SPACED):
             mark = np.zeros(len(block.starts) + PERIOD + 1, np.int64)
             for k, first in enumerate(block.first[:-1].tolist()):
@@ -214,9 +221,7 @@ def repeated_windows(docs: DataFrame, flagged: DataFrame, window: int, n_buckets
                 own = slice(at, at + len(block.counts))
                 found.add(ids[own], keys[own], buckets[own], rows[starts], starts - block.first[rows[starts]], h1, h2)
             if found.n >= FLUSH:
-                out += found.flush()
-        out += found.flush()
-        return pa.Table.from_batches(out or [_batch([])])
+                yield from found.flush()
 
     return docs.groupBy("bucket").cogroup(flagged.groupBy("bucket")).applyInArrow(each, PACKED)
 
@@ -242,15 +247,29 @@ def remove_passages(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words or more")
-    n_buckets = parallelism(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    docs = docs.select("doc_id", "text_key", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(n_buckets)).cast("int").alias("bucket"), "text")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    sizes = table(docs.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.sum(n_bytes).alias("bytes")))
+    many = (F.col("n") > 2) & ((F.col("n") > ALIKE_ROWS) | (F.col("bytes") > ALIKE_BYTES))
+    hot, total = sizes.agg(F.count_if(many), F.sum(F.when(many, F.col("bytes") / F.col("n") * 2).otherwise(F.col("bytes")))).first()
+    n_buckets = max(parallelism(documents.sparkSession), -int(-(total or 0) // BUCKET_BYTES))
+    docs = docs.withColumn("copies", F.lit(1).cast("long"))
+    if hot:
+        # Many rows alike in id and text stand in one bucket: two of them, which repeat each other as all do, stand for all.
+        alike = sizes.where(many).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "n")
+        on = docs["doc_id"].eqNullSafe(F.col("__id")) & (docs["text_key"] == F.col("__key"))
+        two = docs.join(alike, on).dropDuplicates(["__id", "__key"]).withColumn("copies", F.explode(F.array(F.col("n"), F.lit(0).cast("long"))))
+        docs = docs.join(alike, on, "left_anti").unionByName(two.select(*docs.columns))
+    docs = docs.select("doc_id", "text_key", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(n_buckets)).cast("int").alias("bucket"), "text", "copies")
     flagged = anchors(docs, window, n_buckets).groupBy("bucket").applyInArrow(_meet, PACKED)
     repeated = repeated_windows(docs, flagged, window, n_buckets).groupBy("bucket").applyInArrow(_meet, PACKED)
 
     def each(_key, texts: pa.Table, flags: pa.Table) -> pa.Table:
-        batch = _flat(texts)
-        places = _places(flags, batch.column(0), batch.column(1))
+        found = _flagged(flags)
+        return pa.concat_tables([one(batch, found) for batch in texts.to_batches()] or [schema.empty_table()])
+
+    def one(batch: pa.RecordBatch, found: dict) -> pa.Table:
+        places = _places(found, batch.column(0), batch.column(1))
         n_words, n_removed, kept, spans = [], [], [], []
         for at, block in text_blocks(batch.column(3), SPACED):
             raw = block.data.tobytes()
@@ -263,9 +282,11 @@ def remove_passages(documents: DataFrame, window: int = WINDOW) -> DataFrame:
                 spans.append([{"start": s, "end": e} for s, e in zip(edges[::2].tolist(), edges[1::2].tolist())])
                 n_words.append(int(b - a))
                 n_removed.append(gone)
-        return pa.table({"doc_id": batch.column(0), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))})
+        return pa.table({"doc_id": batch.column(0), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "removed": pa.array(spans, schema.field("removed").type), "copies": batch.column(4)}, schema=schema)
 
-    return docs.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(each, "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("copies", pa.int64())])
+    out = docs.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(each, "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>, copies long")
+    return (out.withColumn("_", F.explode(F.expr("case when copies > 0 then sequence(1L, copies) end"))) if hot else out).drop("copies", "_")
 
 
 def op10_passages(spark, sf_dir: str) -> DataFrame:

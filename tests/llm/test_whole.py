@@ -6,7 +6,7 @@ import itertools
 import random
 from collections import Counter
 
-from tessera.llm import near_dups
+from tessera.llm import near_dups, passages
 
 from .conftest import prose
 
@@ -44,3 +44,16 @@ def test_the_stage_leaves_no_near_copies(spark):
         first[r] = min(first.get(r, i), i)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(first.values())
+
+
+def test_buckets_of_passages_follow_the_bytes_of_text(spark, monkeypatch):
+    monkeypatch.setattr(passages, "BUCKET_BYTES", 4000, raising=False)
+    monkeypatch.setattr(passages, "ALIKE_ROWS", 3, raising=False)
+    seen, anchors = [], passages.anchors
+    monkeypatch.setattr(passages, "anchors", lambda docs, window, n: seen.append((n, docs.count())) or anchors(docs, window, n))
+    shared = prose(500, 40)
+    rows = [(1, prose(501, 80))] * 9 + [(None, prose(502, 20))] * 7 + [(2, prose(503, 50) + " " + shared), (3, shared + " " + prose(504, 70))] + [(4, None)] * 5 + [(k, prose(k, 60)) for k in range(600, 640)]
+    found = passages.remove_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = Counter({(1, ""): 9, (None, prose(502, 20)): 7, (2, prose(503, 50)): 1, (3, prose(504, 70)): 1, (4, ""): 5} | {(k, prose(k, 60)): 1 for k in range(600, 640)})
+    assert Counter((r["doc_id"], r["kept"]) for r in found) == want
+    assert seen[0][0] > 4 and seen[0][1] == len(rows) - (9 - 2) - (7 - 2) - (5 - 2)
