@@ -24,7 +24,11 @@ def query(name: str, sql: str | None = None):
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, lambda t: tables.read(spark, f"{sf_dir}/{t}.parquet"))
+            def table(name: str) -> DataFrame:
+                return tables.read(spark, f"{sf_dir}/{name}.parquet")
+
+            table.folder = sf_dir
+            return f(spark, table)
 
         QUERIES[name] = run
         if sql:
@@ -504,18 +508,12 @@ def _(spark, t):
 def _streamed(spark, t, select) -> DataFrame:
     """The rows a stream of the events table gives, read back from the table it was written to."""
     path = tables.scratch(spark)
-    source = spark.readStream.schema(t("events").schema).parquet(_glob(t("events").inputFiles()[0]))
-    out = select(source)
+    out = select(changes.stream_of(spark, t.folder, "events"))
     query = changes.to_table(out, path, path + "-checkpoint")
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(path)
 
 
-def _glob(file: str) -> str:
-    """A pattern that finds one file: streams read folders and patterns."""
-    return file[:-1] + f"[{file[-1]}]"
-
-
 @query("232_233_changes", "select 'delete' as event, c_custkey from customer where c_acctbal < 0 union all select 'update', c_custkey from customer where c_acctbal >= 9000 union all select 'create', -1")
 def _(spark, t):
     before = t("customer").select("c_custkey", "c_acctbal")

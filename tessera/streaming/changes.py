@@ -68,6 +68,6 @@ def next_job(jobs: DataFrame, locks: DataFrame, scopes: DataFrame, timeout_s: in
 
 
 def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A folder's Parquet table as a stream; its schema is read from what is there."""
+    """A folder's Parquet table, one file or a folder of files, as a stream; its schema is read from what is there."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}.parque[t]")
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
