@@ -48,7 +48,10 @@ def keep_listed(df: DataFrame, key: str, values: list) -> DataFrame:
         return df.where(contained_in(F.col(key), values))
     kind = df.schema[key].dataType.simpleString()
     listed = df.sparkSession.createDataFrame([(v,) for v in values if v is not None], f"`{key}` {kind}")
-    return df.join(listed, key, "left_semi")
+    if all(v is not None for v in values):
+        return df.join(listed, key, "left_semi")
+    # A null in the list finds nulls; no listed value is null, so no row is found twice.
+    return df.join(listed, key, "left_semi").select(*df.columns).unionByName(df.where(F.col(key).isNull()))
 
 
 def _array(values: Iterable, like: Column) -> Column:
