@@ -4,7 +4,8 @@ Bytes are embedded, filters of `WIDTH` bytes slide over them, and each filter's
 of 256 bytes; chunks overlap by half and cover the whole text.  A document's probability comes from the mean and the
 maximum over its chunks.  Gradients reach only the places that won a maximum, so training is cheap.
 
-Training reads a bounded sample (`LOW` and `HIGH` documents at most).  Scoring is one pass, with no shuffle.
+Training reads a bounded sample (`LOW` and `HIGH` documents at most, with the bounds on bytes of `labelled`) and runs in one
+task of an executor.  Scoring is one pass, with no shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import sample
+from .labelled import sample, trained
 from .shared import doc_bucket, map_batches, read
 from .words import row_blocks, text_rows
 
@@ -119,15 +120,19 @@ class Net:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Net:
-    texts, y, _, counts = sample(documents, labels, "quality", {0: LOW, 1: HIGH})
-    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
-    net = Net()
-    if len(set(y.tolist())) < 2:
-        rate = np.clip(counts.get(1, 0) / max(1, sum(counts.values())), 1e-6, 1 - 1e-6)
-        net.p["base"][0] = np.log(rate / (1 - rate))
-        return net.ready()
-    weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
-    return net.fit(data, y, weight / weight.mean(), epochs=int(np.clip(12_000 // len(y), 4, 40)))
+    rows, counts = sample(documents, labels, "quality", {0: LOW, 1: HIGH})
+
+    def fit(texts: list[str], y: np.ndarray) -> Net:
+        net = Net()
+        if len(set(y.tolist())) < 2:
+            rate = np.clip(counts.get(1, 0) / max(1, sum(counts.values())), 1e-6, 1 - 1e-6)
+            net.p["base"][0] = np.log(rate / (1 - rate))
+            return net.ready()
+        data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+        weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
+        return net.fit(data, y, weight / weight.mean(), epochs=int(np.clip(12_000 // len(y), 4, 40)))
+
+    return trained(rows, fit)
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:

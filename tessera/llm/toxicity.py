@@ -6,8 +6,8 @@ blanks, so that offsets agree and a window's two compressed lengths differ only
 is judged by the savings of all its overlapping windows; weights and threshold are calibrated on documents that the
 dictionaries of the other half of the sample have not seen.
 
-Training reads a bounded sample (`TOXIC` and `ORDINARY` documents at most).  Scoring is one pass, with no shuffle, over
-whole texts.
+Training reads a bounded sample (`TOXIC` and `ORDINARY` documents at most, with the bounds on bytes of `labelled`) and runs in
+one task of an executor.  Scoring is one pass, with no shuffle, over whole texts.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import chance, logistic, sample
+from .labelled import chance, logistic, sample, trained
 from .shared import doc_bucket, map_batches, read
 from .words import LOWER, text_rows
 
 TOXIC, ORDINARY, DICTIONARY = 1500, 3000, 4096
+#: Windows of ordinary text that zstandard trains on, at most; the longest stretch; the least ratio of a telling gram.
+TRAINED_ON, LONGEST, LEAST, SHARE = 40_000, 24, 20.0, 0.02
 WINDOW, STRIDE, GRAM, THRESHOLD, FEATURES = 10, 5, 5, 0.7, 10
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 TAIL = b" " + bytes(range(33, 65))
@@ -54,7 +56,7 @@ def _grams(docs: list[list[bytes]]) -> tuple[Counter, int]:
     return found, len(seen)
 
 
-def telling(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: float = 20.0, share: float = 0.02) -> list[bytes]:
+def telling(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: float = LEAST, share: float = SHARE) -> list[bytes]:
     """Stretches of grams over-represented in toxic text (log-likelihood ratio above least and above share of the top),
     each drawn out as long as most toxic words that hold it go on alike."""
     (ours, n), (theirs, m) = _grams(toxic), _grams(ordinary)
@@ -81,7 +83,7 @@ def telling(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: float
     drawn: Counter[bytes] = Counter()
     for run, n_run in runs.items():
         holding = [(w, k) for w, k in padded.items() if run in w]
-        while len(run) < 24:
+        while len(run) < LONGEST:
             after: Counter[int] = Counter()
             for w, k in holding:
                 if 0 <= (i := w.find(run)) < len(w) - len(run):
@@ -106,7 +108,7 @@ class Dictionaries:
         stretches = b"".join(telling([d for d, y in zip(docs, toxic) if y], ordinary))
         rng = np.random.default_rng(3)
         pieces = [w for d in ordinary for w in windows(d)]
-        pieces = [pieces[i] for i in rng.permutation(len(pieces))[:40_000]]
+        pieces = [pieces[i] for i in rng.permutation(len(pieces))[:TRAINED_ON]]
         try:
             base = zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: the text itself
@@ -128,19 +130,23 @@ def features(tokens: list[bytes], ordinary, toxic) -> np.ndarray:
 
 def train(documents: DataFrame, labels: DataFrame) -> tuple[Dictionaries, tuple]:
     """Dictionaries on the whole sample; the calibration on each half by the dictionaries of the other half."""
-    texts, y, h, counts = sample(documents, labels, "toxic", {1: TOXIC, 0: ORDINARY})
-    docs = [words(LOWER[np.frombuffer(t.encode(), np.uint8)].tobytes()) for t in texts]
-    if len(set(y.tolist())) < 2:  # nothing to tell apart: everything is as likely as the labels say
-        rate = float(np.clip(counts.get(1, 0) / max(1, sum(counts.values())), 1e-6, 1 - 1e-6))
-        return Dictionaries([[b"none"]], np.zeros(1)), (np.zeros(FEATURES), np.ones(FEATURES), np.array([0.0] * FEATURES + [np.log(rate / (1 - rate))]))
-    half = np.arange(len(y)) % 2
-    x = np.zeros((len(y), FEATURES))
-    for k in (0, 1):
-        a, b = (c.compress for c in Dictionaries([d for d, f in zip(docs, half) if f != k], y[half != k]).compressors())
-        for i in np.flatnonzero(half == k):
-            x[i] = features(docs[i], a, b)
-    weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
-    return Dictionaries(docs, y), logistic(x, y, weight / weight.mean())
+    rows, counts = sample(documents, labels, "toxic", {1: TOXIC, 0: ORDINARY})
+
+    def fit(texts: list[str], y: np.ndarray) -> tuple[Dictionaries, tuple]:
+        docs = [words(LOWER[np.frombuffer(t.encode(), np.uint8)].tobytes()) for t in texts]
+        if len(set(y.tolist())) < 2:  # nothing to tell apart: everything is as likely as the labels say
+            rate = float(np.clip(counts.get(1, 0) / max(1, sum(counts.values())), 1e-6, 1 - 1e-6))
+            return Dictionaries([[b"none"]], np.zeros(1)), (np.zeros(FEATURES), np.ones(FEATURES), np.array([0.0] * FEATURES + [np.log(rate / (1 - rate))]))
+        half = np.arange(len(y)) % 2
+        x = np.zeros((len(y), FEATURES))
+        for k in (0, 1):
+            a, b = (c.compress for c in Dictionaries([d for d, f in zip(docs, half) if f != k], y[half != k]).compressors())
+            for i in np.flatnonzero(half == k):
+                x[i] = features(docs[i], a, b)
+        weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
+        return Dictionaries(docs, y), logistic(x, y, weight / weight.mean())
+
+    return trained(rows, fit)
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
