@@ -7,6 +7,8 @@ within the radius.  The trees are dealt out by a shuffle, not broadcast: togethe
 
 Documents with equal fingerprints are one node from the start, and a shard gives no pairs but a spanning forest of its
 links (each node found leaves the tree and is searched from once), so thousands of copies cost thousands of rows.
+
+`similar` deals shards by other keys and searches the same trees; the pipeline's stage is that one.
 """
 
 from __future__ import annotations
@@ -99,7 +101,7 @@ class BKTree:
 
 
 def forest(values: list[int], radius: int = RADIUS) -> Iterator[tuple[int, int]]:
-    """Links (index, index of the first of its component) that span each component of the values."""
+    """Links (index, index it was found from) that span each component of the values."""
     if len(values) == 2:
         if (values[0] ^ values[1]).bit_count() <= radius:
             yield 1, 0
@@ -110,11 +112,12 @@ def forest(values: list[int], radius: int = RADIUS) -> Iterator[tuple[int, int]]
             continue
         tree.remove(first)
         todo = [first]
-        while todo:
-            for i in tree.near(values[todo.pop()], radius):
+        while todo and tree.live[0]:
+            at = todo.pop()
+            for i in tree.near(values[at], radius):
                 tree.remove(i)
                 todo.append(i)
-                yield i, first
+                yield i, at
 
 
 def _slices(n: int) -> list[int]:
@@ -127,59 +130,76 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(u, v) with u > v: links of distinct fingerprints fp within radius bits that join all that are reachable.
+def sliced(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(node, fp, mask, bits): fingerprints fp, each its own node, dealt to a shard for every choice of slices.
 
     Every shard's key is the choice of slices and their bits, so two fingerprints meet in a shard exactly when they
-    agree there.  Shards of one fingerprint are passed over.
-    """
+    agree there."""
     masks = [_signed(sum(_slices(blocks)[k] for k in kept)) for kept in combinations(range(blocks), blocks - radius)]
     choices = F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)]))
-    n = parallelism(distinct.sparkSession)
-    dealt = distinct.select("fp", choices.alias("s")).select("fp", "s.mask", "s.bits").repartition(n, "mask", "bits").sortWithinPartitions("mask", "bits", "fp")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-        for batch in _with_end(batches):
-            new = [np.zeros(0, np.int64)] * 3 if batch is None else [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
-            fp, mask, bits = (np.concatenate([a, b]) for a, b in zip(held, new))
-            if not len(fp):
-                continue
-            cut = np.flatnonzero((mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])) + 1
-            starts = np.concatenate([[0], cut])
-            ends = np.concatenate([cut, [len(fp)]])
-            if batch is not None:  # the last shard may go on in the next batch
-                held = [x[starts[-1] :] for x in (fp, mask, bits)]
-                starts, ends = starts[:-1], ends[:-1]
-            one, other = [], []
-            for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-                own = fp[a:b]
-                for i, j in forest(own.view(np.uint64).tolist(), radius):
-                    one.append(own[i])
-                    other.append(own[j])
-            if one:
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, other), pa.int64()), pa.array(np.minimum(one, other), pa.int64())], ["u", "v"])
+    return distinct.select("fp", choices.alias("s")).select(F.col("fp").alias("node"), "fp", "s.mask", "s.bits")
 
-    return dealt.mapInArrow(run, "u long, v long").dropDuplicates()
 
+def searched(shards: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(mask, bits, node, near) for every node of a shard (mask, bits) of several: a node within radius bits from which a
+    search of the shard's tree found it, or itself where a search began.  Over all shards of the nodes these links join
+    all that are reachable."""
+    n = parallelism(shards.sparkSession)
+    dealt = shards.select("mask", "bits", "fp", "node").repartition(n, "mask", "bits").sortWithinPartitions("mask", "bits", "fp", "node")
 
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[tuple] = []  # the parts of the shard that may go on in the next batch
+        for batch in batches:
+            parts = tuple(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+            if not len(parts[0]):
+                continue
+            cut = np.flatnonzero((parts[0][1:] != parts[0][:-1]) | (parts[1][1:] != parts[1][:-1])) + 1
+            cuts = [0, *cut.tolist(), len(parts[0])]
+            whole = []
+            for a, b in zip(cuts, cuts[1:]):
+                own = tuple(p[a:b] for p in parts)
+                if open_ and (open_[0][0][0], open_[0][1][0]) != (own[0][0], own[1][0]):
+                    whole.append(tuple(map(np.concatenate, zip(*open_))))
+                    open_ = []
+                open_.append(own)
+            yield from _forests(whole, radius)
+        if open_:
+            yield from _forests([tuple(map(np.concatenate, zip(*open_)))], radius)
+
+    return dealt.mapInArrow(run, "mask int, bits long, node long, near long")
+
+
+def _forests(shards: list[tuple], radius: int) -> Iterator[pa.RecordBatch]:
+    found: list[tuple] = []
+    for mask, bits, fp, node in shards:
+        if len(fp) > 1:
+            near = np.arange(len(fp))
+            for i, at in forest(fp.view(np.uint64).tolist(), radius):
+                near[i] = at
+            found.append((mask, bits, node, node[near]))
+    if found:
+        mask, bits, node, near = map(np.concatenate, zip(*found))
+        yield pa.RecordBatch.from_arrays([pa.array(mask, pa.int32()), pa.array(bits), pa.array(node), pa.array(near)], ["mask", "bits", "node", "near"])
+
+
+def linked(found: DataFrame) -> DataFrame:
+    """(u, v), u > v, once each, of the links that searches found."""
+    return found.where("node <> near").select(F.greatest("node", "near").alias("u"), F.least("node", "near").alias("v")).dropDuplicates()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable from every node that has a link, by alternating large and small stars.
 
-    Each round is two aggregates that combine before they shuffle and two joins on a node; a hub's links, one for
-    each distinct fingerprint, meet in one task of each join, which may spill.  Rounds end when the links no longer change.
-    """
+    Each round is two aggregates that combine before they shuffle, and two joins of the links with what they give, a row
+    for each node.  Those rows are written first, so that Spark knows their size: few are broadcast by its own threshold,
+    and of many the links of a hub, dealt by an exchange of their own, are split by AQE's skew join.  Rounds end when the
+    links no longer change."""
     edges, state = table(edges.select("u", "v")), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").dropDuplicates()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        lower = table(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).select("col.*").where("u > v").dropDuplicates()
         edges = table(small)
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
@@ -188,19 +208,14 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def _placed(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """fp, first_id (its smallest doc_id) and root (the least fingerprint reachable over links) of every fingerprint."""
-    firsts = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(firsts.select("fp"), radius, blocks))
-    return firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-
-
 def classes(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """prints (doc_id, fp, ...) with component_id: the smallest doc_id reachable over links.  Null ids count only where
     a class has no other."""
-    placed = _placed(prints, radius, blocks)
-    ids = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(placed.join(ids, "root").select("fp", "component_id"), "fp")
+    firsts = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(linked(searched(sliced(firsts.select("fp"), radius, blocks), radius)))
+    placed = table(firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+    ids = table(placed.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    return prints.join(table(placed.join(ids, "root").select("fp", "component_id")), "fp")
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, width: int = SHINGLE) -> DataFrame:
@@ -212,19 +227,13 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, blocks: int = BL
     return classes(table(fingerprints(documents, width)), radius, blocks)
 
 
-def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents, all columns, without those that stand behind another of their class (see one_of_each)."""
-    prints = table(fingerprints(documents))
-    return one_of_each(documents, prints.join(_placed(prints, radius, BLOCKS).select("fp", "root"), "fp"))
-
-
 def one_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
     """One row of documents, all columns, for each root in found (doc_id, text_key, root; a row for each of documents):
     the smallest doc_id, nulls last; of different texts under that id the one with the smallest hash; of rows alike in
     id and text any one.  Documents of different roots never stand behind each other, whatever their ids."""
     alike = table(found.groupBy("doc_id", "text_key").agg(F.first("root").alias("root"), F.count(F.lit(1)).alias("n")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    ranked = alike.join(alike.groupBy("root").agg(F.min(order).alias("best")), "root")
+    ranked = alike.join(table(alike.groupBy("root").agg(F.min(order).alias("best"))), "root")
     ranked = ranked.withColumn("first", F.col("text_key").eqNullSafe(F.col("best.text_key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
     told = table(ranked.where("not first or n > 1").select(F.col("doc_id").alias("__one_id"), F.col("text_key").alias("__one_key"), "first"))
     on = documents["doc_id"].cast("long").eqNullSafe(F.col("__one_id")) & (F.xxhash64(documents["text"]) == F.col("__one_key"))

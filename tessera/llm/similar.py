@@ -1,10 +1,13 @@
-"""Near copies by the Jaccard similarity of their sets of word shingles: MinHash proposes, the sets themselves decide.
+"""SimHash near-duplicates of five words and a similarity of 0.8 or more: trees propose links, the sets decide them.
 
-Documents with the same set are one node from the start.  A node has `BANDS` keys, each of `DEPTH` least hashes, so two
-nodes of similarity s share none with a chance of (1 - s**DEPTH)**BANDS: 0.0006 at 0.8, less above.  Nodes that share a
-key are compared by their sets in two rounds.  First each node with the least node of its key: hot groups of near copies
-are mostly joined by that, with a row for each node and not for each pair.  Then groups that still hold several classes
-are searched through, each distinct group once; a group, with its sets, is then in one task.
+At a Jaccard similarity of 0.8 two 64-bit fingerprints are some ten bits apart, up to twenty, where slices of equal bits
+no longer find them.  So the shards of the BK-trees are dealt here by keys of the sets themselves: `BANDS` keys, each of
+`DEPTH` least hashes, so that two sets of similarity s share none with a chance of (1 - s**DEPTH)**BANDS: 0.0006 at 0.8,
+less above.  In each shard the tree is searched within `RADIUS` bits, and each link it proposes is held against the sets.
+
+Where a shard still holds several classes after that, all pairs of its classes that no earlier key has brought together
+are held against each other, class by class but the largest: in blocks of at most about `BLOCK` sets, so that a hot group
+is many tasks and none of them grows with it.  Only links are returned, never pairs.
 """
 
 from __future__ import annotations
@@ -16,16 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_dups import components, one_of_each
+from .near_dups import WEIGHTS, components, linked, one_of_each, searched
 from .shared import lists, map_batches, table
 from .words import SPACED, WORD_BASES, U, between, mix, prefix, text_blocks
 
-WIDTH, LEAST, BANDS, DEPTH, SEED = 5, 0.8, 40, 8, 42
+WIDTH, LEAST, BANDS, DEPTH, SEED, RADIUS = 5, 0.8, 40, 8, 42, 24
 _draw = np.random.default_rng(SEED)
 FACTORS = _draw.integers(1 << 32, size=BANDS * DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 SHIFTS = _draw.integers(1 << 32, size=BANDS * DEPTH, dtype=np.uint64).astype(np.uint32)
 MIXERS = mix(np.arange(1, BANDS * DEPTH + 1, dtype=U)).reshape(BANDS, DEPTH) | U(1)
 PART = 4096
+#: Sets, and bytes of them, that one task searches through on each side.
+BLOCK, BLOCK_BYTES = 1024, 1 << 25
 
 
 def shingles(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -50,16 +55,25 @@ def bands(own: np.ndarray) -> np.ndarray:
     return mix((least.reshape(BANDS, DEPTH).astype(U) * MIXERS).sum(axis=1, dtype=U) + np.arange(BANDS, dtype=U))
 
 
+def simhash(own: np.ndarray) -> int:
+    """The SimHash of a set of hashes: bit set where over half of them have it."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(own), 1 << 16):
+        counts += np.unpackbits(own[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(WEIGHTS[counts * 2 > len(own)].sum())
+
+
 def sets(documents: DataFrame) -> DataFrame:
-    """doc_id, text_key, node (of its set), keys and hashes (the sorted set, 8 bytes each) of every row."""
+    """doc_id, text_key, node (of its set), fp (its SimHash), keys and hashes (the sorted set, 8 bytes each) of every row."""
 
     def each(batch: pa.RecordBatch) -> Iterator[dict]:
         found = list(shingles(batch.column(1)))
         node = np.array([mix(np.array([mix(s).sum(dtype=U) + U(len(s))], U))[0] for s in found], U)
+        fp = np.array([simhash(s) for s in found], U)
         keys = np.concatenate([bands(s) for s in found]) if found else np.zeros(0, U)
-        yield {"doc_id": batch.column(0), "text_key": batch.column(2), "node": node.view(np.int64), "keys": lists(keys.view(np.int64), np.full(len(found), BANDS), pa.int64()), "hashes": pa.array([s.tobytes() for s in found], pa.binary())}
+        yield {"doc_id": batch.column(0), "text_key": batch.column(2), "node": node.view(np.int64), "fp": fp.view(np.int64), "keys": lists(keys.view(np.int64), np.full(len(found), BANDS), pa.int64()), "hashes": pa.array([s.tobytes() for s in found], pa.binary())}
 
-    return map_batches(documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")), each, "doc_id long, text_key long, node long, keys array<long>, hashes binary")
+    return map_batches(documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")), each, "doc_id long, text_key long, node long, fp long, keys array<long>, hashes binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -79,66 +93,74 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def forest(found: list[np.ndarray], root: list[int], least: float = LEAST) -> Iterator[tuple[int, int]]:
-    """Links (i, j) that join all sets reachable over similar ones; sets of one root are joined already."""
+def crossed(found: list[np.ndarray], root: list[int], keys: np.ndarray, asks: np.ndarray, band: int, least: float = LEAST) -> Iterator[tuple[int, int]]:
+    """Links (i, j) between sets of different roots, i among those that ask: enough of them to join all classes that a
+    similar pair joins.  Pairs that agree in a key before the band's are left to that one's shard."""
     sizes = np.array([len(s) for s in found])
-    values, at = np.unique(np.concatenate(found), return_inverse=True)
-    owner = np.repeat(np.arange(len(found)), sizes)[np.argsort(at, kind="stable")]
-    ends = np.cumsum(np.bincount(at, minlength=len(values)))
-    begins = ends - np.bincount(at, minlength=len(values))
-    first = np.cumsum(sizes) - sizes
-    roots = np.unique(root, return_inverse=True)[1]
-    live, left = np.ones(len(found), bool), len(set(roots.tolist()))
-    for start in range(len(found)):
-        if not live[start] or left < 2:
-            continue
-        own = roots == roots[start]
-        live[own], todo = False, np.flatnonzero(own).tolist()
-        left -= 1
-        while todo and live.any():
-            i = todo.pop()
-            mine = at[first[i] : first[i] + sizes[i]]
-            both = np.bincount(np.concatenate([owner[begins[k] : ends[k]] for k in mine.tolist()]), minlength=len(found)) if len(mine) else np.zeros(len(found))
-            near = live & (both >= least * (sizes + sizes[i] - both))
-            for r in np.unique(roots[near]).tolist():
-                yield int(np.flatnonzero(near & (roots == r))[0]), i
-                new = roots == r
-                live[new] = False
-                todo += np.flatnonzero(new).tolist()
-                left -= 1
-
-
-def _search(groups: DataFrame, least: float) -> DataFrame:
-    """(u, v) that join the classes within each group: rows (key, node, root, hashes)."""
+    first, flat = np.cumsum(sizes) - sizes, np.concatenate(found)
+    of = np.unique(root, return_inverse=True)[1]
+    for i in np.flatnonzero(asks).tolist():
+        other = np.flatnonzero((of != of[i]) & (np.minimum(sizes, sizes[i]) >= least * np.maximum(sizes, sizes[i])) & ~(keys[:, :band] == keys[i, :band]).any(axis=1))
+        for a in range(0, len(other), 256):
+            own = other[a : a + 256]
+            own = own[of[own] != of[i]]
+            if not len(own):
+                continue
+            ends = np.cumsum(sizes[own])
+            values = flat[np.repeat(first[own] - ends + sizes[own], sizes[own]) + np.arange(ends[-1])]
+            at = np.minimum(np.searchsorted(found[i], values), sizes[i] - 1)
+            both = np.diff(np.concatenate([[0], np.cumsum(found[i][at] == values)])[np.concatenate([[0], ends])])
+            for j in own[both >= least * (sizes[own] + sizes[i] - both)].tolist():
+                if of[j] != of[i]:
+                    yield i, j
+                    of[of == of[j]] = of[i]
+
+
+def _search(told: DataFrame, shown: DataFrame, least: float) -> DataFrame:
+    """(u, v) that join the classes within each shard of told (mask, bits, node, root); shown has node, keys, hashes."""
+    by = ["mask", "bits"]
+    sizes = table(told.join(shown.select("node", F.octet_length("hashes").alias("bytes")), "node").groupBy(*by, "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").cast("long").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 31))).alias("s")))
+    shards = sizes.groupBy(*by).agg(F.count(F.lit(1)).alias("classes"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("n").alias("most"), F.bit_xor("x").alias("x"), F.sum("s").alias("s")).where("classes > 1")
+    # Of shards with the same nodes the first key's stands for all.
+    shards = shards.groupBy("x", "s", "n").agg(F.min_by(F.struct(*by, "main", "bytes", "most"), F.struct(*by)).alias("k")).select("k.*", "n")
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.ceil(n / F.col("n") * F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    shards = table(shards.select(*by, "main", blocks(F.col("n") - F.col("most")).alias("asking"), blocks(F.col("n")).alias("held")))
+    rows = told.join(shards, by).withColumn("asks", F.col("root") != F.col("main"))
+    place = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # A set is held in one block for every block of those that ask, and asks in one for every block of those held.
+    to_held = F.transform(every("asking"), lambda a: F.struct(a.alias("a"), place(7, "held").alias("b"), F.lit(False).alias("asks")))
+    to_ask = F.when(F.col("asks"), F.transform(every("held"), lambda b: F.struct(place(8, "asking").alias("a"), b.alias("b"), F.lit(True).alias("asks")))).otherwise(F.array().cast("array<struct<a:int,b:int,asks:boolean>>"))
+    rows = rows.select(*by, "node", "root", F.explode(F.concat(to_held, to_ask)).alias("t")).select(*by, "t.a", "t.b", "node", "root", "t.asks")
+    rows = rows.groupBy(*by, "a", "b", "node", "root").agg(F.max("asks").alias("asks")).join(shown, "node")
 
     def each(group: pa.Table) -> pa.Table:
-        nodes, root = group["node"].to_pylist(), group["root"].to_pylist()
-        found = [np.frombuffer(x, U) for x in group["hashes"].to_pylist()]
-        links = [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for i, j in forest(found, root, least)]
+        nodes, asks = group["node"].to_pylist(), group["asks"].to_numpy(zero_copy_only=False)
+        links = []
+        if asks.any() and len(nodes) > 1:
+            keys = group["keys"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(nodes), -1)
+            found = [np.frombuffer(x, U) for x in group["hashes"].to_pylist()]
+            links = [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for i, j in crossed(found, group["root"].to_pylist(), keys, asks, group["mask"][0].as_py(), least)]
         return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
 
-    return groups.select("key", "node", "root", "hashes").groupBy("key").applyInArrow(each, "u long, v long")
+    return rows.select(*by, "a", "b", "node", "root", "asks", "keys", "hashes").groupBy(*by, "a", "b").applyInArrow(each, "u long, v long")
 
 
-def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
+def classes(documents: DataFrame, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """doc_id, text_key, root for every row: rows have one root where a chain of similar documents joins them."""
     found = table(sets(documents))
-    held = table(found.select("node", "keys").dropDuplicates(["node"]))
-    keyed = held.select("node", F.explode("keys").alias("key"))
-    groups = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    keyed = table(keyed.join(groups, "key").select("key", "node", "least"))
+    nodes = table(found.select("node", "fp", "keys").dropDuplicates(["node"]))
+    shards = table(searched(nodes.select("node", "fp", F.posexplode("keys").alias("mask", "bits")), radius))
     # The sets of nodes that share a key, once each.
-    shown = found.join(keyed.select("node").dropDuplicates(), "node", "left_semi").select("node", "hashes")
-    shown = table(shown.dropDuplicates(["node"]))
-    pairs = keyed.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).dropDuplicates()
+    members = shards.select("node").dropDuplicates()
+    shown = table(found.select("node", "keys", "hashes").join(members, "node", "left_semi").dropDuplicates(["node"]))
+    pairs = linked(shards)
     one, other = (shown.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("u", "a"), ("v", "b")))
     edges = table(_alike(pairs.join(one, "u").join(other, "v"), least))
     roots = components(edges)
-    told = table(keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    mixed = told.groupBy("key").agg(F.countDistinct("root").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 31))).alias("s")).where("n > 1")
-    mixed = mixed.groupBy("x", "s").agg(F.min("key").alias("key")).select("key")
-    more = _search(told.join(mixed, "key").join(shown, "node"), least)
-    roots = components(edges.unionByName(more).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).dropDuplicates())
+    told = table(shards.join(roots, "node", "left").select("mask", "bits", "node", F.coalesce("root", "node").alias("root")))
+    more = table(_search(told, shown, least))
+    roots = components(edges.unionByName(more).dropDuplicates())
     return found.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from tessera.llm import decontaminate, kneser_ney, merkle, mixing, near_dups, passages, quality, secrets, sharding, toxicity
+from tessera.llm import decontaminate, kneser_ney, merkle, mixing, near_dups, passages, quality, secrets, sharding, similar, toxicity
 
 OPERATORS = {
     "decontaminate": lambda d, b, y: decontaminate.find_contamination(d, b),
@@ -23,7 +23,7 @@ OPERATORS = {
 FILTERS = {
     "decontaminate": lambda d, b, y: decontaminate.decontaminate(d, b),
     "toxicity": lambda d, b, y: toxicity.keep_civil(d, y),
-    "near_dups": lambda d, b, y: near_dups.keep_one(d),
+    "near_dups": lambda d, b, y: similar.keep_one(d),
     "mixing": lambda d, b, y: mixing.mix_documents(d),
 }
 

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm import decontaminate, kneser_ney, merkle, mixing, near_dups, passages, quality, secrets, sharding, toxicity
+from tessera.llm import decontaminate, kneser_ney, merkle, mixing, near_dups, passages, quality, secrets, sharding, similar, toxicity
 from tessera.llm.words import ALNUM, SPACED, Block
 
 from .conftest import prose
@@ -235,6 +235,17 @@ def linked(prints: list[int], radius: int) -> list[int]:
     return [find(i) for i in range(len(prints))]
 
 
+def alike(texts: list[str | None], least: float = 0.8) -> list[int]:
+    """Roots of texts joined by chains of a Jaccard similarity of `least` of their sets of five words, over all pairs."""
+    words = [spaced((t or "").translate(ASCII)) for t in texts]
+    own = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in words]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if root[i] != root[j] and len(own[i] & own[j]) >= least * len(own[i] | own[j]):
+            root = [root[i] if r == root[j] else r for r in root]
+    return root
+
+
 def test_near_duplicates(edges, edge_rows):
     found = near_dups.near_duplicates(edges).collect()
     prints = {(r[0], r[1]): simhash(r[1]) for r in edge_rows}
@@ -275,7 +286,7 @@ def test_tree_search_is_exact():
 
 
 def test_one_of_each_class_stays(edges):
-    kept = [r["doc_id"] for r in near_dups.keep_one(edges).collect()]
+    kept = [r["doc_id"] for r in similar.keep_one(edges).collect()]
     assert {1, 3, 9}.issubset(kept) and not {2, 10} & set(kept)
 
 
@@ -349,7 +360,7 @@ def test_pipeline(spark):
 
     def near_duplicates_stage(rows):
         first: dict[int, int] = {}
-        for r, c in zip(rows, linked([simhash(r["text"]) for r in rows], 4)):
+        for r, c in zip(rows, alike([r["text"] for r in rows])):
             first[c] = min(first.get(c, r["doc_id"]), r["doc_id"])
         return Counter(first.values())
 

@@ -6,7 +6,7 @@ import itertools
 import random
 from collections import Counter
 
-from tessera.llm import near_dups, passages
+from tessera.llm import near_dups, passages, similar
 
 from .conftest import prose
 
@@ -16,7 +16,7 @@ def test_unlinked_documents_that_share_an_id_or_have_none_all_stay(spark):
     rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (8, texts[4]), (8, texts[4]), (8, texts[4]), (None, texts[5]), (None, texts[5]), (9, texts[6]), (None, texts[6])]
     docs = spark.createDataFrame([(i, t, f"row {k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, other string").repartition(3)
     want = Counter([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (8, texts[4]), (None, texts[5]), (9, texts[6])])
-    assert Counter((r["doc_id"], r["text"]) for r in near_dups.keep_one(docs).collect()) == want
+    assert Counter((r["doc_id"], r["text"]) for r in similar.keep_one(docs).collect()) == want
 
 
 def shingled(text: str | None) -> frozenset:
