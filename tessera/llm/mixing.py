@@ -1,13 +1,14 @@
 """Mixing sources to target weights, by a multivariate-hypergeometric splitting tree.
 
-A source's documents are cut into blocks of words (or taken whole) and put in a fixed random order; it gives its blocks
-in that order until its target is met, and starts again from the first if the target exceeds its size.  How many of a
-source's blocks go to each output shard is drawn by a tree: the root holds the exact number of blocks of every source,
-and each node deals its blocks to two halves of its shards as a draw without replacement would.  The ordered blocks are
-then cut at those quotas, so shards are disjoint, and within a shard blocks follow a second random order.
-
-Running sums are taken over ranges of the order, in parallel: a hot source is many ranges.  Only one row for each source,
-or for each range, is ever gathered.
+A source's documents are cut into blocks of words (or taken whole) and put in a fixed random order.  Its quota is the
+number of blocks, counted along that order and again from its start, that meets its target.  How many of a source's blocks
+go to each output shard is drawn by a tree: the root holds the exact quotas of all sources, and each node deals them to
+two halves of its shards as a draw without replacement would.  Every shard then draws its blocks from the permuted
+sequence of each source at its own quotas, so draws are disjoint and what is taken is what the shards have drawn; within a
+shard blocks follow a second random order.
+
+Running sums are taken over ranges of the order, in parallel: a hot source is many ranges.  The tree splits groups of
+`SOURCES` sources first, a row for each group, and then the sources of each group in a task of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import parallelism, read, table
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-BLOCK_WORDS, N_SHARDS, SEED = 256, 64, 11
+BLOCK_WORDS, N_SHARDS, SEED, SOURCES = 256, 64, 11, 4096
 WORD = r"[^ \t-\r]+"
 
 
@@ -75,19 +76,23 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) ->
     return a + int(np.searchsorted(p, rng.random() * p[-1], "right").clip(0, b - a))
 
 
-def split(counts: list[int], n_shards: int, seed: int = SEED) -> np.ndarray:
-    """Quotas by shard (rows) and source (columns): sums over shards are counts, shard sizes differ by one at most."""
-    total = sum(counts)
-    room = [total * (j + 1) // n_shards - total * j // n_shards for j in range(n_shards)]
-    out = np.zeros((n_shards, len(counts)), np.int64)
-    todo = [(0, n_shards, list(counts))]
+def even(total: int, n_shards: int) -> list[int]:
+    """Sizes of shards that differ by one at most."""
+    return [total * (j + 1) // n_shards - total * j // n_shards for j in range(n_shards)]
+
+
+def split(counts: list[int], room: list[int], seed: tuple[int, ...] = (SEED,)) -> np.ndarray:
+    """Quotas by shard (rows) and source (columns), as draws without replacement would give: sums over shards are the
+    counts, sums over sources the room of each shard."""
+    out = np.zeros((len(room), len(counts)), np.int64)
+    todo = [(0, len(room), list(counts))]
     while todo:
         a, b, have = todo.pop()
         if b - a == 1:
             out[a] = have
             continue
         mid = (a + b) // 2
-        rng, drawn, rest, left = np.random.default_rng([seed, a, b]), sum(room[a:mid]), sum(have), []
+        rng, drawn, rest, left = np.random.default_rng([*seed, a, b]), sum(room[a:mid]), sum(have), []
         for n in have:
             k = hypergeometric(rng, n, rest - n, drawn)
             left.append(k)
@@ -96,12 +101,33 @@ def split(counts: list[int], n_shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
+def quotas(sources: DataFrame, n_shards: int, seed: int, group: int = SOURCES) -> DataFrame:
+    """(source, first, cycle, ends) of sources (source, source_rank, n, first, cycle): ends are the running sums of a
+    source's quotas over the shards.  Groups of sources are split like sources, and then each group within its quotas."""
+    sources = sources.withColumn("part", F.floor(F.col("source_rank") / group))
+
+    def of_groups(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part", kind="stable")
+        counts = [int(n) for n in rows["n"]]
+        return pd.DataFrame({"part": rows["part"], "room": list(split(counts, even(sum(counts), n_shards), (seed,)).T)})
+
+    def of_sources(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("source_rank", kind="stable")
+        drawn = split([int(n) for n in rows["n"]], [int(k) for k in rows["room"].iloc[0]], (seed, int(rows["part"].iloc[0]) + 1))
+        return pd.DataFrame({"source": rows["source"], "first": rows["first"], "cycle": rows["cycle"], "ends": list(np.cumsum(drawn, axis=0).T)})
+
+    totals = sources.groupBy("part").agg(F.sum("n").alias("n"))
+    room = totals.groupBy(F.lit(0).alias("all")).applyInPandas(lambda rows: of_groups(rows), "part long, room array<long>")
+    return sources.join(room, "part").groupBy("part").applyInPandas(lambda rows: of_sources(rows), "source string, first long, cycle long, ends array<long>")
+
+
 def mix(documents: DataFrame, block_words: int | None = BLOCK_WORDS, n_shards: int = N_SHARDS, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """A row for each block of every document: row_id, doc_id, text_key, source, size, source_size, target, block, words,
-    shards (the output shard of each time it is taken, so an empty list if it is not) and place (its order in a shard).
+    """A row for each block of every document: row_id, doc_id, text_key, source, size, source_size, target, block, words
+    and shards: the output shard that draws it, each time it is drawn, so an empty list if it is not.
 
-    block_words=None takes documents whole.  size counts words; null and empty texts are one empty block; a null source
-    is a source, the last; repeated rows count each; other columns are not read.  Runs over the same rows agree.
+    block_words=None takes documents whole.  size counts words; null and empty texts are one empty block, which is never
+    drawn; a null source is a source, the last; repeated rows count each; other columns are not read.  Runs over the same
+    rows agree.
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("text_key"))
     docs = table(docs.withColumn("row_id", F.monotonically_increasing_id()))
@@ -114,38 +140,58 @@ def mix(documents: DataFrame, block_words: int | None = BLOCK_WORDS, n_shards: i
         blocks = docs.withColumns({"block": F.lit(0).cast("long"), "words": F.col("size")})
     blocks = blocks.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "text_key", "block"))
     order = [F.col("source").isNull(), F.col("source"), F.col("_order"), F.col("doc_id"), F.col("size"), F.col("block"), F.col("row_id")]
-    blocks = running(blocks, order, {"_before": F.col("words"), "_number": F.lit(1).cast("long")})
+    blocks = running(blocks, order, {"_before": F.col("words"), "_number": (F.col("words") > 0).cast("long")})
     by_source = lambda a, b: a["source"].eqNullSafe(b["_source"])
     other = sources.withColumnRenamed("source", "_source")
-    taken = blocks.join(other, by_source(blocks, other)).drop("_source")
+    blocks = table(blocks.join(other, by_source(blocks, other)).drop("_source"))
+    # A draw belongs to the quota while half of its block lies below the target; draws go round `most` times at most.
+    rounds = int(np.ceil(most))
     half = F.col("_before") - F.col("source_start") + F.col("words") / 2
-    copies = sum(((half + F.col("source_size") * c <= F.col("target")).cast("int") for c in range(int(np.ceil(most)))), F.lit(0))
-    taken = table(taken.withColumn("_copies", F.when(F.col("words") > 0, copies).otherwise(0)))
-    counts = taken.groupBy("source").agg(F.sum("_copies").alias("n"), F.min("_number").alias("first"), F.count_if(F.col("_copies") > 0).alias("once"))
-
-    def quotas(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("source", na_position="last", kind="stable")
-        ends = np.cumsum(split([int(n) for n in rows["n"]], n_shards, seed), axis=0)
-        return pd.DataFrame({"_source": rows["source"], "_first": rows["first"], "_once": rows["once"], "_ends": list(ends.T)})
-
-    # One row for each source meets here, none for a document or block.
-    ends = counts.groupBy(F.lit(0).alias("all")).applyInPandas(lambda rows: quotas(rows), "_source string, _first long, _once long, _ends array<long>")
-    placed = taken.join(ends, by_source(taken, ends))
-    rank = lambda c: F.col("_number") - F.col("_first") + c * F.col("_once")
-    shards = F.transform(F.expr("case when _copies > 0 then sequence(0, _copies - 1) else array() end"), lambda c: F.size(F.filter("_ends", lambda e: e <= rank(c))))
-    return placed.select("row_id", "doc_id", "text_key", "source", "size", "source_size", "target", "block", "words", shards.alias("shards"), F.xxhash64(F.lit(seed + 1), "doc_id", "text_key", "block").alias("place"))
-
-
-def mix_documents(documents: DataFrame, **options) -> DataFrame:
-    """documents, all columns, each row as often as a mix of whole documents takes it.  Rows alike in id and text share
-    what they are taken, rounded."""
-    plan = mix(documents, block_words=None, **options)
-    times = plan.groupBy(F.col("doc_id").alias("__mix_id"), F.col("text_key").alias("__mix_key")).agg(F.round(F.avg(F.size("shards"))).cast("int").alias("__mix_times")).where("__mix_times > 0")
-    on = documents["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")) & (F.xxhash64(documents["text"]) == F.col("__mix_key"))
-    return documents.join(times, on).withColumn("__mix_times", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).select(*documents.columns)
+    below = sum(((half + F.col("source_size") * c <= F.col("target")).cast("long") for c in range(rounds)), F.lit(0).cast("long"))
+    quota = blocks.where("words > 0").groupBy("source", "source_rank").agg(F.sum(below).alias("n"), F.min("_number").alias("first"), F.count(F.lit(1)).alias("cycle"))
+    drawn = table(quotas(quota, n_shards, seed)).select(F.col("source").alias("_source"), "first", "cycle", "ends")
+    placed = blocks.join(drawn, by_source(blocks, drawn), "left")
+    draws = F.array(*(F.col("_number") - F.col("first") + c * F.col("cycle") for c in range(rounds)))
+    shards = F.transform(F.filter(draws, lambda k: k < F.element_at("ends", -1)), lambda k: F.size(F.filter("ends", lambda e: e <= k)))
+    return placed.select("row_id", "doc_id", "text_key", "source", "size", "source_size", "target", "block", "words", F.when(F.col("words") > 0, shards).otherwise(F.array().cast("array<int>")).alias("shards"))
+
+
+def drawn(plan: DataFrame, seed: int = SEED) -> DataFrame:
+    """Every draw of a plan as a row, with its shard and its slot there: from 0, gapless, in the shard's own random order."""
+    draws = plan.select("*", F.posexplode("shards").alias("turn", "shard")).drop("shards")
+    draws = draws.withColumn("_place", F.xxhash64(F.lit(seed + 1), "doc_id", "text_key", "block", "turn"))
+    order = [F.col("shard"), F.col("_place"), F.col("doc_id"), F.col("row_id"), F.col("block"), F.col("turn")]
+    draws = running(draws, order, {"_at": F.lit(1).cast("long")})
+    starts = table(draws.groupBy("shard").agg(F.min("_at").alias("_start")))  # a row for each shard
+    return draws.join(F.broadcast(starts), "shard").withColumn("slot", F.col("_at") - F.col("_start")).drop("_place", "_at", "_start")
+
+
+def mix_documents(documents: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, **options) -> DataFrame:
+    """documents, all columns: a row for each draw of a mix of whole documents, dealt to its shard and there in its slot's
+    order.  Rows alike in id, text and source are the same to the mix; what else they hold comes from any one of them."""
+    key = ["__mix_id", "__mix_key", "__mix_source"]
+    plan = table(mix(documents, block_words=None, n_shards=n_shards, seed=seed, **options))
+    named = [F.col(c).alias(k) for c, k in zip(("doc_id", "text_key", "source"), key)]
+    draws = table(drawn(plan, seed).select(*named, F.col("shard").alias("__mix_shard"), F.col("slot").alias("__mix_slot")))
+    alike = table(plan.select(*named).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    same = lambda a, b: a[key[0]].eqNullSafe(b[key[0]]) & (a[key[1]] == b[key[1]]) & a[key[2]].eqNullSafe(b[key[2]])
+    docs = documents.withColumns(dict(zip(key, (F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("source").cast("string")))))
+    once = draws.join(alike, same(draws, alike), "left_anti").toDF(*(f"{c}_" for c in draws.columns))
+    often = draws.join(alike, same(draws, alike), "left_semi").toDF(*(f"{c}_" for c in draws.columns))
+    one = table(docs.join(alike, same(docs, alike), "left_semi").dropDuplicates(key))  # one row for many alike
+    on = lambda a, b: a[key[0]].eqNullSafe(b[f"{key[0]}_"]) & (a[key[1]] == b[f"{key[1]}_"]) & a[key[2]].eqNullSafe(b[f"{key[2]}_"])
+    out = docs.join(once, on(docs, once)).unionByName(one.join(often, on(one, often)))
+    # A shard is as many partitions as the cluster needs, each a range of its slots.
+    pieces = max(1, -(-parallelism(documents.sparkSession) // n_shards))
+    width = max(1, -(-draws.count() // (n_shards * pieces)))
+    piece = F.col("__mix_shard_") * pieces + F.least(F.floor(F.col("__mix_slot_") / width), F.lit(pieces - 1)).cast("int")
+    return out.repartitionById(n_shards * pieces, piece).sortWithinPartitions("__mix_shard_", "__mix_slot_").select(*documents.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
-    plan = mix(read(spark, sf_dir, "documents"))
-    taken = F.sum(F.col("words") * F.size("shards")).alias("taken")
-    return plan.groupBy("row_id", "doc_id", "size", "source_size", "target").agg(taken).drop("row_id")
+    plan = table(mix(read(spark, sf_dir, "documents")))
+    draws = drawn(plan.select("row_id", "doc_id", "text_key", "block", "words", "shards"))
+    taken = draws.groupBy("row_id").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("places"))
+    docs = plan.where("block = 0").select("row_id", "doc_id", "size", "source_size", "target").join(taken, "row_id", "left")
+    places = F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["shard"].cast("string"), p["slot"].cast("string"))), ",")
+    return docs.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce(places, F.lit("")).alias("places"))

@@ -74,17 +74,46 @@ def test_clean_documents_stay(edges, benchmark_items):
     assert not {1, 2, 3, 7} & set(kept) and {4, 5, 6, 9, 13} <= set(kept)
 
 
+def least_guesses(value: str, ranks) -> float:
+    """The cheapest segmentation over every span there is."""
+    n, brute, (lower, plain) = len(value), secrets.brute_cost(value), secrets._plain(value)
+    best = [0.0] + [math.inf] * n
+    for j in range(1, n + 1):
+        best[j] = best[j - 1] + brute
+        for i in range(j):
+            own, costs = value[i:j], []
+            if plain[i:j] in ranks.rank:
+                costs.append(secrets.word_cost(own, lower[i:j], plain[i:j], ranks.rank[plain[i:j]]))
+            if own[-1].isdigit() and secrets.DATE.fullmatch(own):
+                costs.append(secrets.date_cost(j - i))
+            steps = [secrets._step(a, b) for a, b in zip(own, own[1:])]
+            if len(steps) > 1 and all(steps):
+                costs.append(secrets.walk_cost(len(steps), 1 + sum(a != b for a, b in zip(steps, steps[1:]))))
+            costs += [secrets.repeat_cost(u, (j - i) // u, brute) for u in range(1, 5) if (j - i) % u == 0 and (j - i) // u >= 3 and own == own[:u] * ((j - i) // u)]
+            for cost in costs:
+                best[j] = min(best[j], best[i] + cost + (secrets.PENALTY if i else 0))
+    return best[n]
+
+
 def test_guesses_are_the_least_over_segmentations():
-    for value in ("password", "pass2024", "aaaa", "qwer9", "Admin12"):
-        whole = secrets.guesses(value)
-        for cut in range(1, len(value)):
-            both = sum(secrets.guesses(v) * math.log10(secrets._cardinality(value)) / math.log10(max(10, secrets._cardinality(v))) for v in (value[:cut], value[cut:]))
-            assert whole <= both + secrets.PENALTY + 1e-9
+    rng = random.Random(11)
+    ranks = secrets.Ranks(secrets.WORDS, ["blue", "elephant", "dancing", "zzz", "abab", "ferdin"])
+    parts = ["password", "Admin", "t0ken", "blue", "elephant", "1999", "2024-02-28", "qwerty", "qazwsx", "abcdefgh", "9876", "1111", "xyxyxy", "zzzzzz", "121212", "abcabcabc", "K9", "$mQ", "7f", "-", "é"]
+    values = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(1500)] + ["".join(rng.choice("ab12qw") for _ in range(rng.randint(1, 24))) for _ in range(1500)]
+    values += ["K9111112024tokenQK9", "zzzzzz1999qwertyxyxyxyf7", "passwordefghijklm", "xpxpxpassword"]
+    for v in values:
+        assert secrets.guesses(v, ranks) == pytest.approx(least_guesses(v, ranks), abs=1e-9), v
     assert secrets.guesses("password") < 1 < secrets.guesses("password1987") < 8 < 20 < secrets.guesses("xK9#mQ2$vL7p")
-    assert secrets.guesses("ab" * 500) < 8 and secrets.guesses("z" * 1000) < 8
+    assert secrets.guesses("ab" * 50_000) < 10 and secrets.guesses("z" * 100_000) < 10 and secrets.guesses("12321" * 20_000) > 1
     assert secrets.guesses("2024-02-28") < 6 and secrets.guesses("qwertyuiop") < 6
 
 
+def test_words_of_the_corpus_are_ranked(spark):
+    rows = [(i, "Common élan " * 3 + ("rarer" if i < 7 else "") + (" unique" if i < 4 else "")) for i in range(9)]
+    docs = spark.createDataFrame(rows + [(None, None)], "doc_id long, text string")
+    assert secrets.corpus_words(docs) == ["common", "élan", "rarer"] and secrets.corpus_words(docs, 2) == ["common", "élan"]
+
+
 def test_spans():
     text = 'ä PassWord : "abc" secret=\'abcdefgh\' ſecret=abcdefgh AKIA0123456789AB AKIA01 ' + "0123456789abcdef" * 2 + " pwd: xK9#mQ2$vL7p! api_key:" + "k" * 9
     got = [(k, text[s:e]) for s, e, k, _ in secrets.scan(text)]
@@ -120,13 +149,36 @@ def test_mixing(spark):
     assert all(abs(taken[s] - want[s]) <= 32 for s in want)
     assert all(by_doc[i] <= 2 * size[i] for i in size)
     assert set(shards) == set(range(8)) and max(shards.values()) - min(shards.values()) <= 1
-    again = mixing.mix(docs.repartition(5), block_words=32, n_shards=8).collect()
-    key = lambda r: (r["doc_id"], r["block"], tuple(r["shards"]), r["place"])
-    assert Counter(map(key, again)) == Counter(map(key, plan))
+    key = lambda r: (r["doc_id"], r["block"], r["turn"], r["shard"], r["slot"])
+    once, again = (mixing.drawn(mixing.mix(d, block_words=32, n_shards=8)).collect() for d in (docs, docs.repartition(5)))
+    assert Counter(map(key, again)) == Counter(map(key, once))
+    slots = defaultdict(list)
+    for r in once:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(own) == list(range(len(own))) for own in slots.values()) and {s: len(own) for s, own in slots.items()} == shards
+
+
+def test_what_is_taken_is_what_the_tree_deals(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    split = mixing.split
+    monkeypatch.setattr(mixing, "split", lambda counts, room, seed: split(counts, room, seed) // 2)  # a tree that deals half
+    half = sum(r["words"] * len(r["shards"]) for r in mixing.mix(docs, block_words=32, n_shards=8).collect())
+    monkeypatch.undo()
+    assert 0.1 < half / sum(r["words"] * len(r["shards"]) for r in mixing.mix(docs, block_words=32, n_shards=8).collect()) < 0.6
+
+
+def test_groups_of_sources_split_as_one_tree_would(spark):
+    rows = [(f"s{k:02}", k, 50 + 7 * k, 0, 40) for k in range(10)]
+    sources = spark.createDataFrame(rows, "source string, source_rank long, n long, first long, cycle long")
+    for group in (3, 100):
+        ends = {r["source"]: r["ends"] for r in mixing.quotas(sources, 6, 5, group).collect()}
+        assert {s: e[-1] for s, e in ends.items()} == {r[0]: r[2] for r in rows}
+        sizes = np.diff(np.concatenate([[0], np.sum(list(ends.values()), axis=0)]))
+        assert np.ptp(sizes) <= 1
 
 
 def test_quotas_are_exact():
-    quotas = mixing.split([1000, 0, 37, 5], 7)
+    quotas = mixing.split([1000, 0, 37, 5], mixing.even(1042, 7))
     assert quotas.sum(0).tolist() == [1000, 0, 37, 5] and np.ptp(quotas.sum(1)) <= 1
     rng = np.random.default_rng(0)
     draws = [mixing.hypergeometric(rng, 40, 60, 25) for _ in range(4000)]
