@@ -48,8 +48,8 @@ def test_word_kernels(edge_rows):
         assert len(set(seen.values())) == len(seen)
 
 
-@pytest.mark.parametrize("block_rows", [1_000_000, 7])
-def test_contamination(edges, edge_rows, benchmark_items, block_rows):
+@pytest.mark.parametrize("most_words", [1_000_000, 7])
+def test_contamination(edges, edge_rows, benchmark_items, most_words):
     items = {r["item_id"]: alnum(r["text"]) for r in benchmark_items.collect() if r["item_id"] is not None and alnum(r["text"])}
     want = Counter()
     for doc_id, text, *_ in edge_rows:
@@ -63,12 +63,25 @@ def test_contamination(edges, edge_rows, benchmark_items, block_rows):
                         found.add(str(item))
         want[(doc_id, len(w), tuple(sorted(hit)), tuple(sorted(found)))] += 1
     got = Counter()
-    for r in decontaminate.find_contamination(edges, benchmark_items, block_rows=block_rows).collect():
+    for r in decontaminate.find_contamination(edges, benchmark_items, most_words=most_words).collect():
         hit = sorted({p for s in r["hits"] for p in range(s["start"], s["end"])})
         got[(r["doc_id"], r["n_words"], tuple(hit), tuple(sorted(r["item_ids"])))] += 1
     assert got == want
 
 
+def test_winnowing_keeps_few_grams_and_finds_every_span():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(1 << 60, size=5000, dtype=np.uint64)
+    places, _ = decontaminate.winnowed(hashes, len(hashes) - np.arange(len(hashes)), 10)
+    assert len(places) < 0.35 * len(hashes)
+    for n in (1, 2, 3, 7, 10):  # a planted span at any offset, of two words only so that hashes tie
+        for offset in range(0, 30):
+            span = rng.integers(2, size=n).astype(np.uint64)
+            one, two = (np.concatenate([rng.integers(5, 9, size=k).astype(np.uint64), span, rng.integers(5, 9, size=9).astype(np.uint64)]) for k in (offset, 13))
+            (p, f), (q, g) = (decontaminate.winnowed(x, len(x) - np.arange(len(x)), n) for x in (one, two))
+            assert {(a - offset, h) for a, h in zip(p.tolist(), f.tolist())} & {(a - 13, h) for a, h in zip(q.tolist(), g.tolist()) if 13 <= a < 13 + n}
+
+
 def test_clean_documents_stay(edges, benchmark_items):
     kept = [r["doc_id"] for r in decontaminate.decontaminate(edges, benchmark_items).collect()]
     assert not {1, 2, 3, 7} & set(kept) and {4, 5, 6, 9, 13} <= set(kept)
