@@ -1,10 +1,12 @@
 """Sharding by histogram sort, with DataFrame operations only.
 
 Rows are ordered by a 128-bit key: the hash of the text, then of the id.  Equal texts stand together, whatever their
-source.  Splitters that cut the bytes into equal parts are found by counting: each round counts bytes (and the range of
-keys) in 4,096 equal slices of every interval that still holds a splitter too loosely, exactly and over all rows, and
-keeps the slice in which the target falls.  A round returns at most 4,096 sums for each unsettled splitter, however many
-rows there are.  When all are settled the rows are exchanged once, by pieces of shards, so no task holds a whole shard.
+source, in one shard unless they are wider than `GROUP` of one.  Splitters that cut the bytes into equal parts are found by
+counting: each round counts bytes (and the range of keys) in 1,024 equal slices of every interval that still holds a
+splitter too loosely, exactly and over all rows, and keeps the slice in which the target falls.  A round returns at most
+1,024 sums for each unsettled splitter, however many rows or partitions there are.  When all are settled the rows are
+exchanged once, by pieces of shards that are slices of the key, so no task holds a whole shard; a row's slot is its rank in
+its piece and the number of rows in the shard's pieces before it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .shared import parallelism, read, table
 
-N_SHARDS, TOLERANCE, FIXED_BYTES, SLICE_BITS = 40, 0.002, 16, 12
+N_SHARDS, TOLERANCE, GROUP, FIXED_BYTES, SLICE_BITS = 40, 0.002, 0.25, 16, 10
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -27,11 +29,11 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.withColumns({"__shard_size": (F.octet_length(text) + FIXED_BYTES).cast("long"), "__shard_text": F.xxhash64(text), "__shard_id": F.xxhash64(F.col("doc_id").cast("string"))})
 
 
-def find_splitters(keys: DataFrame, n_parts: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
+def find_splitters(keys: DataFrame, n_parts: int, tolerance: float = TOLERANCE, group: float = GROUP) -> list[tuple[int, int]]:
     """n_parts - 1 ascending keys; part j holds the rows from splitter j - 1 up to, but without, splitter j.
 
-    Each splitter has its share of the bytes below it to within tolerance of a part, or, where a single row or a group
-    of rows alike in text and id is wider than that, the nearest key there is.
+    Each splitter has its share of the bytes below it to within tolerance of a part, or, where a single row, a text of at
+    most `group` of a part or rows alike in text and id are wider than that, the nearest border of theirs.
     """
     total = keys.agg(F.sum("__shard_size")).first()[0] or 0
     if not total:
@@ -58,7 +60,7 @@ def find_splitters(keys: DataFrame, n_parts: int, tolerance: float = TOLERANCE)
                     settled[j] = past
                 elif least < most:
                     after.setdefault((level, text, least, most, below), []).append((j, target))
-                elif level == 0:
+                elif level == 0 and size > group * total / n_parts:
                     after.setdefault((1, least, LOW, HIGH, below), []).append((j, target))
                 else:
                     settled[j] = key(least) if target - below <= below + size - target else past
@@ -99,26 +101,40 @@ def _count(keys: DataFrame, intervals: list[tuple]) -> dict[int, list[tuple[int,
     return out
 
 
-def shard(documents: DataFrame, n_shards: int = N_SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """documents, all columns, with size, text_crc32, shard (0 to n_shards - 1) and slot (gapless from 0 in a shard).
+def shard(documents: DataFrame, n_shards: int = N_SHARDS, tolerance: float = TOLERANCE, group: float = GROUP) -> DataFrame:
+    """documents, all columns, with size, text_crc32, shard (0 to n_shards - 1), slot (gapless from 0 in a shard) and
+    group_split, whether the row's text stands in several shards.
 
     Sizes, UTF-8 bytes of the text plus 16, are near equal over shards.  A null text counts as empty, a null id as a key
     of its own; rows alike in text and id stand in one shard, in either order; an empty table gives an empty one.
-    Columns called size, text_crc32, shard or slot are replaced.
+    Columns called size, text_crc32, shard, slot or group_split are replaced.
     """
     keys = table(keyed(documents).select("__shard_size", "__shard_text", "__shard_id"))
-    each = max(1, -(-parallelism(documents.sparkSession) // n_shards))
-    piece = _reached(find_splitters(keys, n_shards * each, tolerance * each))
-    rows = {r[0]: r[1] for r in keys.groupBy(piece.alias("piece")).count().collect()}  # a row for each piece, at most
-    before = [sum(rows.get(i, 0) for i in range(p - p % each, p)) for p in range(n_shards * each)]
-    base = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("__shard_piece") + 1)
-    place = F.row_number().over(Window.partitionBy("__shard_piece").orderBy("__shard_text", "__shard_id"))
-    found = keyed(documents).withColumn("__shard_piece", piece).withColumns({
-        "size": F.col("__shard_size"), "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")),
-    }).withColumns({"shard": F.floor(F.col("__shard_piece") / each).cast("int"), "slot": base + place - 1})
-    return found.drop("__shard_size", "__shard_text", "__shard_id", "__shard_piece")
+    splitters = find_splitters(keys, n_shards, tolerance, group)
+    split = sorted({text for text, id_ in splitters if id_ != LOW and text != HIGH})  # texts that a splitter divides
+    # Pieces of a shard, in the order of keys: slices of the text's hash, and within a divided text of the id's.
+    shift = 64 - max(1, (2 * max(parallelism(documents.sparkSession), n_shards) - 1).bit_length())
+    divided = F.col("__shard_text").isin(split) if split else F.lit(False)
+    piece = {
+        "__shard_number": _reached(splitters), "__shard_slice": F.shiftright("__shard_text", shift),
+        "__shard_among": sum(((F.col("__shard_text") > t).cast("int") for t in split), divided.cast("int") + sum(((F.col("__shard_text") > t).cast("int") for t in split), F.lit(0))),
+        "__shard_within": F.when(divided, F.shiftright(F.coalesce("__shard_id", F.lit(LOW)), shift)).otherwise(F.lit(0)),
+    }
+    before = Window.partitionBy("__shard_number").orderBy(*list(piece)[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    rows = keys.withColumns(piece).groupBy(*piece).agg(F.count(F.lit(1)).alias("__shard_rows"))
+    # A row for each piece: a few times as many as there are partitions, so it may be broadcast.
+    bases = table(rows.withColumn("__shard_base", F.coalesce(F.sum("__shard_rows").over(before), F.lit(0))).drop("__shard_rows"))
+    place = F.row_number().over(Window.partitionBy(*piece).orderBy("__shard_text", "__shard_id"))
+    found = keyed(documents).withColumns(piece).withColumn("__shard_place", place).join(F.broadcast(bases), list(piece))
+    return found.withColumns({
+        "size": F.col("__shard_size"), "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), "shard": F.col("__shard_number"),
+        "slot": F.col("__shard_base") + F.col("__shard_place") - 1, "group_split": divided,
+    }).select(*(c for c in documents.columns if c not in ADDED), *ADDED)
+
+
+ADDED = ("size", "text_crc32", "shard", "slot", "group_split")
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
     found = shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_split")

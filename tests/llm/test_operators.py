@@ -209,6 +209,13 @@ def test_shards(spark, edges):
         assert all(sorted(r["slot"] for r in own) == list(range(len(own))) for own in by.values())
         sizes, widest = [sum(r["size"] for r in own) for own in by.values()], max(r["size"] for r in rows)
         assert set(by) <= set(range(5)) and (docs is edges or max(sizes) - min(sizes) <= 2 * widest)
+        together = defaultdict(set)
+        for r in rows:
+            together[r["text"] or ""].add((r["shard"], r["group_split"]))
+        weight = Counter()
+        for r in rows:
+            weight[r["text"] or ""] += r["size"]
+        assert all(len({s for s, _ in own}) == 1 or weight[t] > 0.25 * sum(sizes) / 5 and all(split for _, split in own) for t, own in together.items())
 
 
 def test_a_hot_text_is_split(spark):
