@@ -362,18 +362,61 @@ def test_one_of_each_class_stays(edges):
     assert {1, 3, 9}.issubset(kept) and not {2, 10} & set(kept)
 
 
-def test_merkle(edges, edge_rows):
-    rows = sorted(edge_rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+def leaves_in_order(text: str) -> list[str]:
+    return [piece for line in text.split("\n") for piece in [*merkle.PIECES.findall(line), "\n"]][:-1]
+
+
+def test_merkle(edges, edge_rows, spark):
+    from pyspark.sql import functions as F
+
+    keys = {r["text"]: r["k"] for r in edges.select("text", F.xxhash64("text").alias("k")).collect()}
+    rows = sorted(edge_rows, key=lambda r: (r[0] is None, r[0] or 0, keys[r[1]]))
     texts = [r[1] or "" for r in rows]
-    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:] + texts[:1])]
+    after = texts[1:] + texts[:1]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, after)]
     found = merkle.fingerprints(edges).collect()
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in found) == Counter((r[0], len(t), sha256(e.encode()).hexdigest()) for r, t, e in zip(rows, texts, edited))
+    near = lambda a, b: round(merkle.compared(merkle.Tree(a), merkle.Tree(b))[0], 9)
+    want = Counter((r[0], len(t), sha256(e.encode()).hexdigest(), near(t, e), near(t, n)) for r, t, e, n in zip(rows, texts, edited, after))
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in found) == want
     for r in found:
         assert r["near_edited"] == pytest.approx(merkle.likeness(r["fingerprint"], r["edited_fingerprint"]))
+        assert [tuple(s) for s in r["edited_spans"]] == merkle.edits(r["fingerprint"], r["edited_fingerprint"])
     prints = {t: merkle.Tree(t).fingerprint for t in texts}
     assert len(set(prints.values())) == len(set(texts)) and {r["fingerprint"] for r in found} == set(prints.values())
 
 
+def test_likeness_against_a_comparison_of_all_leaves():
+    rng = random.Random(8)
+    for k in range(60):
+        lines = [prose(700 + k * 40 + i, rng.randint(0, 30)) + "." * rng.randint(0, 1) for i in range(rng.randint(1, 30))]
+        a = "\n".join(lines)
+        for _ in range(rng.randint(0, 4)):
+            lines[rng.randrange(len(lines))] = prose(9000 + rng.randrange(999), 12) + "."
+        b = "\n".join(lines)
+        (near, spans), x, y = merkle.compared(merkle.Tree(a), merkle.Tree(b)), Counter(leaves_in_order(a)), Counter(leaves_in_order(b))
+        flat = 2 * sum(len(p) * min(n, y[p]) for p, n in x.items()) / max(1, len(a) + len(b))
+        assert a == b or near == pytest.approx(flat, abs=0.05)
+        gone = {i for s, e in spans for i in range(s, e)}
+        at = 0
+        for p in leaves_in_order(a):  # what the other text has nowhere lies in a span
+            assert p == "\n" or y[p] or set(range(at, at + len(p))) <= gone
+            at += len(p)
+
+
+def test_neighbours_with_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "ALIKE", 5)
+    rows = [(None, f"none {k}.") for k in range(40)] + [(7, f"seven {k}.") for k in range(40)] + [(k, f"own {k}.") for k in range(20)] + [(None, "alike.")] * 9 + [(3, None)] * 8
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    from pyspark.sql import functions as F
+
+    keys = {r["text"]: r["k"] for r in docs.select("text", F.xxhash64("text").alias("k")).distinct().collect()}
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, keys[r[1]]))
+    texts = [t or "" for _, t in rows]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:] + texts[:1])]
+    got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in merkle.fingerprints(docs).collect())
+    assert got == Counter((r[0], len(t), sha256(e.encode()).hexdigest()) for r, t, e in zip(rows, texts, edited))
+
+
 def test_branches_locate_an_edit():
     text = "\n".join(prose(k, 30) + "." for k in range(40))
     at = len(text) // 2
