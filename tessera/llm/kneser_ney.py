@@ -7,8 +7,8 @@ often) is added up in a second round, again as sorted arrays.  A context's follo
 very frequent word is no group of its own.  Only a row of sums for each bucket reaches the driver.
 
 The arrays lie as plain files in the shared folder; scoring tasks map them into memory and look up the distinct words
-and pairs of many documents at once, in sorted order.  Shared folders that are no mounted file system are copied to the
-task's own folder first, and the copy is unlinked once it is mapped.
+and pairs of many documents at once, in sorted order.  A worker maps a file once, whatever the number of its tasks and
+batches; from shared folders that are no mounted file system it takes a copy, unlinked once it is mapped.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -30,6 +31,8 @@ from .shared import doc_bucket, parallelism, read, shared_dir
 from .words import SPACED, U, mix, text_blocks
 
 SALTS, FLUSH, ASK = 4, 1_500_000, 1_000_000
+#: Text counted in one bucket, on average, at most.
+BUCKET_BYTES = 1 << 26
 BEGIN, END = mix(np.array([0xB, 0xE], U))
 PACKED = "bucket int, blob binary"
 WORD_FIELDS = ("total", "kinds", "n1", "n2", "n3", "n4", "before", "count")
@@ -59,8 +62,9 @@ def save(folder: str, name: str, arrays: list[np.ndarray]) -> None:
         fs.delete_file(part)  # another try of this task was first
 
 
+@lru_cache(maxsize=1 << 16)
 def mapped(folder: str, name: str) -> list[np.ndarray]:
-    """The arrays of a file, mapped into memory."""
+    """The arrays of a file, mapped into memory, once by each worker; models have folders of their own."""
     fs, top = _at(folder)
     path, own = f"{top}/{name}", None
     if not isinstance(fs, pyarrow.fs.LocalFileSystem):
@@ -233,7 +237,8 @@ def train(documents: DataFrame) -> Model:
     """The model of all texts of documents: null and empty ones are their END alone; repeated rows count each; an empty
     table gives a model in which every word is as likely as any; columns other than text are not read."""
     spark = documents.sparkSession
-    n, folder = parallelism(spark), shared_dir(spark)
+    size = documents.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n, folder = max(parallelism(spark), -(-size // BUCKET_BYTES)), shared_dir(spark)
 
     def add_pairs(group: pa.Table) -> pa.Table:
         parts = [unpack(x) for x in group["blob"].to_pylist()]
