@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import parallelism, read, table
+from .shared import kept, parallelism, read, scratch, table
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 BLOCK_WORDS, N_SHARDS, SEED, SOURCES = 256, 64, 11, 4096
@@ -129,31 +129,32 @@ def mix(documents: DataFrame, block_words: int | None = BLOCK_WORDS, n_shards: i
     drawn; a null source is a source, the last; repeated rows count each; other columns are not read.  Runs over the same
     rows agree.
     """
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("text_key"))
-    docs = table(docs.withColumn("row_id", F.monotonically_increasing_id()))
-    sources = table(targets(docs, weights, share, most))
-    if block_words:
-        n_blocks = F.greatest(F.ceil(F.col("size") / block_words), F.lit(1))
-        blocks = docs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-        blocks = blocks.withColumn("words", F.least(F.lit(block_words), F.col("size") - F.col("block") * block_words))
-    else:
-        blocks = docs.withColumns({"block": F.lit(0).cast("long"), "words": F.col("size")})
-    blocks = blocks.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "text_key", "block"))
-    order = [F.col("source").isNull(), F.col("source"), F.col("_order"), F.col("doc_id"), F.col("size"), F.col("block"), F.col("row_id")]
-    blocks = running(blocks, order, {"_before": F.col("words"), "_number": (F.col("words") > 0).cast("long")})
-    by_source = lambda a, b: a["source"].eqNullSafe(b["_source"])
-    other = sources.withColumnRenamed("source", "_source")
-    blocks = table(blocks.join(other, by_source(blocks, other)).drop("_source"))
-    # A draw belongs to the quota while half of its block lies below the target; draws go round `most` times at most.
-    rounds = int(np.ceil(most))
-    half = F.col("_before") - F.col("source_start") + F.col("words") / 2
-    below = sum(((half + F.col("source_size") * c <= F.col("target")).cast("long") for c in range(rounds)), F.lit(0).cast("long"))
-    quota = blocks.where("words > 0").groupBy("source", "source_rank").agg(F.sum(below).alias("n"), F.min("_number").alias("first"), F.count(F.lit(1)).alias("cycle"))
-    drawn = table(quotas(quota, n_shards, seed)).select(F.col("source").alias("_source"), "first", "cycle", "ends")
-    placed = blocks.join(drawn, by_source(blocks, drawn), "left")
-    draws = F.array(*(F.col("_number") - F.col("first") + c * F.col("cycle") for c in range(rounds)))
-    shards = F.transform(F.filter(draws, lambda k: k < F.element_at("ends", -1)), lambda k: F.size(F.filter("ends", lambda e: e <= k)))
-    return placed.select("row_id", "doc_id", "text_key", "source", "size", "source_size", "target", "block", "words", F.when(F.col("words") > 0, shards).otherwise(F.array().cast("array<int>")).alias("shards"))
+    with scratch(documents.sparkSession):
+        docs = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("text_key"))
+        docs = table(docs.withColumn("row_id", F.monotonically_increasing_id()))
+        sources = table(targets(docs, weights, share, most))
+        if block_words:
+            n_blocks = F.greatest(F.ceil(F.col("size") / block_words), F.lit(1))
+            blocks = docs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+            blocks = blocks.withColumn("words", F.least(F.lit(block_words), F.col("size") - F.col("block") * block_words))
+        else:
+            blocks = docs.withColumns({"block": F.lit(0).cast("long"), "words": F.col("size")})
+        blocks = blocks.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "text_key", "block"))
+        order = [F.col("source").isNull(), F.col("source"), F.col("_order"), F.col("doc_id"), F.col("size"), F.col("block"), F.col("row_id")]
+        blocks = running(blocks, order, {"_before": F.col("words"), "_number": (F.col("words") > 0).cast("long")})
+        by_source = lambda a, b: a["source"].eqNullSafe(b["_source"])
+        other = sources.withColumnRenamed("source", "_source")
+        blocks = table(blocks.join(other, by_source(blocks, other)).drop("_source"))
+        # A draw belongs to the quota while half of its block lies below the target; draws go round `most` times at most.
+        rounds = int(np.ceil(most))
+        half = F.col("_before") - F.col("source_start") + F.col("words") / 2
+        below = sum(((half + F.col("source_size") * c <= F.col("target")).cast("long") for c in range(rounds)), F.lit(0).cast("long"))
+        quota = blocks.where("words > 0").groupBy("source", "source_rank").agg(F.sum(below).alias("n"), F.min("_number").alias("first"), F.count(F.lit(1)).alias("cycle"))
+        drawn = table(quotas(quota, n_shards, seed)).select(F.col("source").alias("_source"), "first", "cycle", "ends")
+        placed = blocks.join(drawn, by_source(blocks, drawn), "left")
+        draws = F.array(*(F.col("_number") - F.col("first") + c * F.col("cycle") for c in range(rounds)))
+        shards = F.transform(F.filter(draws, lambda k: k < F.element_at("ends", -1)), lambda k: F.size(F.filter("ends", lambda e: e <= k)))
+        return kept(placed.select("row_id", "doc_id", "text_key", "source", "size", "source_size", "target", "block", "words", F.when(F.col("words") > 0, shards).otherwise(F.array().cast("array<int>")).alias("shards")))
 
 
 def drawn(plan: DataFrame, seed: int = SEED) -> DataFrame:
@@ -161,19 +162,21 @@ def drawn(plan: DataFrame, seed: int = SEED) -> DataFrame:
     draws = plan.select("*", F.posexplode("shards").alias("turn", "shard")).drop("shards")
     draws = draws.withColumn("_place", F.xxhash64(F.lit(seed + 1), "doc_id", "text_key", "block", "turn"))
     order = [F.col("shard"), F.col("_place"), F.col("doc_id"), F.col("row_id"), F.col("block"), F.col("turn")]
-    draws = running(draws, order, {"_at": F.lit(1).cast("long")})
-    starts = table(draws.groupBy("shard").agg(F.min("_at").alias("_start")))  # a row for each shard
-    return draws.join(F.broadcast(starts), "shard").withColumn("slot", F.col("_at") - F.col("_start")).drop("_place", "_at", "_start")
+    with scratch(plan.sparkSession):
+        draws = running(draws, order, {"_at": F.lit(1).cast("long")})
+        starts = table(draws.groupBy("shard").agg(F.min("_at").alias("_start")))  # a row for each shard
+        return kept(draws.join(F.broadcast(starts), "shard").withColumn("slot", F.col("_at") - F.col("_start")).drop("_place", "_at", "_start"))
 
 
 def mix_documents(documents: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, **options) -> DataFrame:
     """documents, all columns: a row for each draw of a mix of whole documents, dealt to its shard and there in its slot's
     order.  Rows alike in id, text and source are the same to the mix; what else they hold comes from any one of them."""
     key = ["__mix_id", "__mix_key", "__mix_source"]
-    plan = table(mix(documents, block_words=None, n_shards=n_shards, seed=seed, **options))
     named = [F.col(c).alias(k) for c, k in zip(("doc_id", "text_key", "source"), key)]
-    draws = table(drawn(plan, seed).select(*named, F.col("shard").alias("__mix_shard"), F.col("slot").alias("__mix_slot")))
-    alike = table(plan.select(*named).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    with scratch(documents.sparkSession):
+        plan = mix(documents, block_words=None, n_shards=n_shards, seed=seed, **options)
+        draws = kept(drawn(plan, seed).select(*named, F.col("shard").alias("__mix_shard"), F.col("slot").alias("__mix_slot")))
+        alike = kept(plan.select(*named).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     same = lambda a, b: a[key[0]].eqNullSafe(b[key[0]]) & (a[key[1]] == b[key[1]]) & a[key[2]].eqNullSafe(b[key[2]])
     docs = documents.withColumns(dict(zip(key, (F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("source").cast("string")))))
     once = draws.join(alike, same(draws, alike), "left_anti").toDF(*(f"{c}_" for c in draws.columns))
@@ -189,7 +192,7 @@ def mix_documents(documents: DataFrame, n_shards: int = N_SHARDS, seed: int = SE
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
-    plan = table(mix(read(spark, sf_dir, "documents")))
+    plan = mix(read(spark, sf_dir, "documents"))
     draws = drawn(plan.select("row_id", "doc_id", "text_key", "block", "words", "shards"))
     taken = draws.groupBy("row_id").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("places"))
     docs = plan.where("block = 0").select("row_id", "doc_id", "size", "source_size", "target").join(taken, "row_id", "left")

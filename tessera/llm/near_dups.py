@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches, parallelism, read, table
+from .shared import kept, map_batches, parallelism, read, scratch, table
 from .words import LOWER, text_rows
 
 SHINGLE, RADIUS, BLOCKS, SEED = 4, 4, 6, 42
@@ -194,28 +194,31 @@ def components(edges: DataFrame) -> DataFrame:
     for each node.  Those rows are written first, so that Spark knows their size: few are broadcast by its own threshold,
     and of many the links of a hub, dealt by an exchange of their own, are split by AQE's skew join.  Rounds end when the
     links no longer change."""
-    edges, state = table(edges.select("u", "v")), None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").dropDuplicates()
-        lower = table(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).select("col.*").where("u > v").dropDuplicates()
-        edges = table(small)
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
-        if now == state or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+    with scratch(edges.sparkSession):
+        edges, state = table(edges.select("u", "v")), None
+        while True:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+            large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").dropDuplicates()
+            lower = table(large.groupBy("u").agg(F.min("v").alias("m")))
+            small = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).select("col.*").where("u > v").dropDuplicates()
+            edges = table(small)
+            now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
+            if now == state or not now[0]:
+                return kept(edges.select(F.col("u").alias("node"), F.col("v").alias("root")))
+            state = now
 
 
 def classes(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """prints (doc_id, fp, ...) with component_id: the smallest doc_id reachable over links.  Null ids count only where
     a class has no other."""
-    firsts = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(linked(searched(sliced(firsts.select("fp"), radius, blocks), radius)))
-    placed = table(firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    ids = table(placed.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    return prints.join(table(placed.join(ids, "root").select("fp", "component_id")), "fp")
+    with scratch(prints.sparkSession):
+        firsts = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+        roots = components(linked(searched(sliced(firsts.select("fp"), radius, blocks), radius)))
+        placed = table(firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+        ids = table(placed.groupBy("root").agg(F.min("first_id").alias("component_id")))
+        found = kept(placed.join(ids, "root").select("fp", "component_id"))
+    return prints.join(found, "fp")
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, width: int = SHINGLE) -> DataFrame:
@@ -235,7 +238,7 @@ def one_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     ranked = alike.join(table(alike.groupBy("root").agg(F.min(order).alias("best"))), "root")
     ranked = ranked.withColumn("first", F.col("text_key").eqNullSafe(F.col("best.text_key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
-    told = table(ranked.where("not first or n > 1").select(F.col("doc_id").alias("__one_id"), F.col("text_key").alias("__one_key"), "first"))
+    told = kept(ranked.where("not first or n > 1").select(F.col("doc_id").alias("__one_id"), F.col("text_key").alias("__one_key"), "first"))
     on = documents["doc_id"].cast("long").eqNullSafe(F.col("__one_id")) & (F.xxhash64(documents["text"]) == F.col("__one_key"))
     repeated = documents.join(told.where("first").drop("first"), on).dropDuplicates(["__one_id", "__one_key"]).select(*documents.columns)
     return documents.join(told, on, "left_anti").unionByName(repeated)

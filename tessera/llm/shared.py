@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +22,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+def table(df: DataFrame, level: int = 1) -> DataFrame:
     """df written to the shared folder and read back: no later loss of an executor recomputes what made it."""
     path = shared_dir(df.sparkSession)
+    if len(_scopes) >= level:
+        _scopes[-level].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A table that outlives the innermost scratch() around it."""
+    return table(df, 2)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables made inside are removed at its end, but for those made by kept(): what leaves it must read only these."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder by the file system that holds it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

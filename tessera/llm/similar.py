@@ -8,6 +8,8 @@ less above.  In each shard the tree is searched within `RADIUS` bits, and each l
 Where a shard still holds several classes after that, all pairs of its classes that no earlier key has brought together
 are held against each other, class by class but the largest: in blocks of at most about `BLOCK` sets, so that a hot group
 is many tasks and none of them grows with it.  Only links are returned, never pairs.
+
+Sets travel as 32 bits of each shingle's hash: of two texts of 20,000 words, a tenth of a shingle is taken for another.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dups import WEIGHTS, components, linked, one_of_each, searched
-from .shared import lists, map_batches, table
+from .shared import kept, lists, map_batches, scratch, table
 from .words import SPACED, WORD_BASES, U, between, mix, prefix, text_blocks
 
 WIDTH, LEAST, BANDS, DEPTH, SEED, RADIUS = 5, 0.8, 40, 8, 42, 24
@@ -28,7 +30,7 @@ _draw = np.random.default_rng(SEED)
 FACTORS = _draw.integers(1 << 32, size=BANDS * DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 SHIFTS = _draw.integers(1 << 32, size=BANDS * DEPTH, dtype=np.uint64).astype(np.uint32)
 MIXERS = mix(np.arange(1, BANDS * DEPTH + 1, dtype=U)).reshape(BANDS, DEPTH) | U(1)
-PART = 4096
+PART, SHORT = 4096, np.uint32
 #: Sets, and bytes of them, that one task searches through on each side.
 BLOCK, BLOCK_BYTES = 1024, 1 << 25
 
@@ -64,14 +66,14 @@ def simhash(own: np.ndarray) -> int:
 
 
 def sets(documents: DataFrame) -> DataFrame:
-    """doc_id, text_key, node (of its set), fp (its SimHash), keys and hashes (the sorted set, 8 bytes each) of every row."""
+    """doc_id, text_key, node (of its set), fp (its SimHash), keys and hashes (the sorted set, 4 bytes each) of every row."""
 
     def each(batch: pa.RecordBatch) -> Iterator[dict]:
         found = list(shingles(batch.column(1)))
         node = np.array([mix(np.array([mix(s).sum(dtype=U) + U(len(s))], U))[0] for s in found], U)
         fp = np.array([simhash(s) for s in found], U)
         keys = np.concatenate([bands(s) for s in found]) if found else np.zeros(0, U)
-        yield {"doc_id": batch.column(0), "text_key": batch.column(2), "node": node.view(np.int64), "fp": fp.view(np.int64), "keys": lists(keys.view(np.int64), np.full(len(found), BANDS), pa.int64()), "hashes": pa.array([s.tobytes() for s in found], pa.binary())}
+        yield {"doc_id": batch.column(0), "text_key": batch.column(2), "node": node.view(np.int64), "fp": fp.view(np.int64), "keys": lists(keys.view(np.int64), np.full(len(found), BANDS), pa.int64()), "hashes": pa.array([np.unique((s >> U(32)).astype(SHORT)).tobytes() for s in found], pa.binary())}
 
     return map_batches(documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")), each, "doc_id long, text_key long, node long, fp long, keys array<long>, hashes binary")
 
@@ -87,7 +89,7 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
-            good = [similarity(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)) >= least for x, y in zip(a, b)]
+            good = [similarity(np.frombuffer(x.as_buffer(), SHORT), np.frombuffer(y.as_buffer(), SHORT)) >= least for x, y in zip(a, b)]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
@@ -139,7 +141,7 @@ def _search(told: DataFrame, shown: DataFrame, least: float) -> DataFrame:
         links = []
         if asks.any() and len(nodes) > 1:
             keys = group["keys"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(nodes), -1)
-            found = [np.frombuffer(x, U) for x in group["hashes"].to_pylist()]
+            found = [np.frombuffer(x, SHORT) for x in group["hashes"].to_pylist()]
             links = [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for i, j in crossed(found, group["root"].to_pylist(), keys, asks, group["mask"][0].as_py(), least)]
         return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
 
@@ -148,24 +150,26 @@ def _search(told: DataFrame, shown: DataFrame, least: float) -> DataFrame:
 
 def classes(documents: DataFrame, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """doc_id, text_key, root for every row: rows have one root where a chain of similar documents joins them."""
-    found = table(sets(documents))
-    nodes = table(found.select("node", "fp", "keys").dropDuplicates(["node"]))
-    shards = table(searched(nodes.select("node", "fp", F.posexplode("keys").alias("mask", "bits")), radius))
-    # The sets of nodes that share a key, once each.
-    members = shards.select("node").dropDuplicates()
-    shown = table(found.select("node", "keys", "hashes").join(members, "node", "left_semi").dropDuplicates(["node"]))
-    pairs = linked(shards)
-    one, other = (shown.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("u", "a"), ("v", "b")))
-    edges = table(_alike(pairs.join(one, "u").join(other, "v"), least))
-    roots = components(edges)
-    told = table(shards.join(roots, "node", "left").select("mask", "bits", "node", F.coalesce("root", "node").alias("root")))
-    more = table(_search(told, shown, least))
-    roots = components(edges.unionByName(more).dropDuplicates())
-    return found.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+    with scratch(documents.sparkSession):
+        found = table(sets(documents))
+        nodes = table(found.select("node", "fp", "keys").dropDuplicates(["node"]))
+        shards = table(searched(nodes.select("node", "fp", F.posexplode("keys").alias("mask", "bits")), radius))
+        # The sets of nodes that share a key, once each.
+        members = table(shards.select("node").dropDuplicates())
+        shown = table(found.select("node", "keys", "hashes").join(members, "node", "left_semi").dropDuplicates(["node"]))
+        pairs = linked(shards)
+        one, other = (shown.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("u", "a"), ("v", "b")))
+        edges = table(_alike(pairs.join(one, "u").join(other, "v"), least))
+        roots = components(edges)
+        told = table(shards.join(roots, "node", "left").select("mask", "bits", "node", F.coalesce("root", "node").alias("root")))
+        more = table(_search(told, shown, least))
+        roots = components(edges.unionByName(more).dropDuplicates())
+        return kept(found.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root")))
 
 
 def keep_one(documents: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents, all columns, without those that stand behind another of their class (see near_dups.one_of_each).
 
     Null and empty texts have the empty set and are one class; an empty table gives an empty one."""
-    return one_of_each(documents, classes(documents, least))
+    with scratch(documents.sparkSession):
+        return one_of_each(documents, classes(documents, least))
