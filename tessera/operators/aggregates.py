@@ -69,7 +69,10 @@ def percentile_continuous_of(df: DataFrame, by: list[str], value: str, p: float,
 
 
 def group(df: DataFrame, key: Column, value: Column, into: str) -> DataFrame:
-    """One row with an array of {key, value}, sorted by key; [] for no rows.  An array may be a key."""
+    """One row with an array of {key, value}, sorted by key; [] for no rows.  An array may be a key.  A group within a group
+    is refused: value is one accumulator."""
+    if isinstance(value, (tuple, list, dict)):
+        raise ValueError("a group holds one accumulator, not another group")
     rows = df.groupBy(key.alias("key")).agg(value.alias("value"))
     return rows.agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias(into))
 

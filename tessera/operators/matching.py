@@ -16,8 +16,8 @@ def descending(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).desc_nulls_first()
 
 
-def match(expanded: DataFrame, where: Column | None = None, sort: list[Column] | None = None, skip: int = 0, limit: int | None = None) -> DataFrame:
-    """The children (parent, ...) of each parent that a sub-query keeps, numbered by `rank` in its order.
+def match(expanded: DataFrame, where: Column | None = None, sort: list[Column] | None = None, skip: int = 0, limit: int | None = None, rank: str = "rank") -> DataFrame:
+    """The children (parent, ...) of each parent that a sub-query keeps, numbered in its order by a column named by `rank`.
 
     With a limit, Spark keeps only the first skip + limit of each parent in every task before it shuffles, so a parent
     with very many children is no large group.
@@ -28,11 +28,13 @@ def match(expanded: DataFrame, where: Column | None = None, sort: list[Column] |
         if skip or limit is not None:
             raise ValueError("skip and limit need a sort")
         return expanded
-    rank = F.row_number().over(Window.partitionBy("parent").orderBy(*sort))
-    out = expanded.withColumn("rank", rank)
+    if rank in expanded.columns:
+        raise ValueError(f"the children have a column {rank}: name another for their number")
+    number = F.row_number().over(Window.partitionBy("parent").orderBy(*sort))
+    out = expanded.withColumn(rank, number)
     if limit is not None:
-        out = out.where(F.col("rank") <= skip + limit)
-    return out.where(F.col("rank") > skip) if skip else out
+        out = out.where(F.col(rank) <= skip + limit)
+    return out.where(F.col(rank) > skip) if skip else out
 
 
 def merged(default: dict, *given: dict) -> dict:
@@ -46,9 +48,10 @@ def merged(default: dict, *given: dict) -> dict:
 
 
 def group_matches(df: DataFrame, key: str, matched: DataFrame, into: str, **aggregates: Column) -> DataFrame:
-    """df with a struct of aggregates over each row's matched children; counts are 0, others null, where there are none.
-
-    A count is an aggregate of the name's prefix `count`, or one made by aggregates.count()."""
-    found = matched.groupBy(F.col("parent").alias("_p")).agg(*(c.alias(n) for n, c in aggregates.items()))
-    fields = [F.coalesce(n, F.lit(0)).alias(n) if n.startswith("count") else F.col(n) for n in aggregates]
-    return df.join(found, df[key] == F.col("_p"), "left").select(*(df[c] for c in df.columns), F.struct(*fields).alias(into))
+    """df with a struct of aggregates over each row's matched children.  Where there are none each is what it is over no
+    rows at all: 0 for counts of any name, null for others."""
+    named = [c.alias(n) for n, c in aggregates.items()]
+    found = matched.groupBy(F.col("parent").alias("__tessera_p")).agg(F.struct(*named).alias("__tessera_found"))
+    none = matched.where(F.lit(False)).agg(F.struct(*named).alias("__tessera_none"))  # one row
+    both = df.join(found, df[key] == F.col("__tessera_p"), "left").join(F.broadcast(none))
+    return both.select(*(df[c] for c in df.columns), F.coalesce("__tessera_found", "__tessera_none").alias(into))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 def with_pointer(df: DataFrame, key: str, target: DataFrame, target_key: str, into: str) -> DataFrame:
     """df with the row its key points to as a struct; null if there is none, or none that may be seen."""
-    there = target.select(F.col(target_key).alias("_key"), F.struct(*target.columns).alias(into))
-    return df.join(there, df[key] == there["_key"], "left").drop("_key")
+    there = target.select(F.col(target_key).alias("__tessera_key"), F.struct(*target.columns).alias(into))
+    return df.join(there, df[key] == there["__tessera_key"], "left").drop("__tessera_key")
 
 
 def by_pointer(children: DataFrame, pointer: str, child: str) -> DataFrame:
@@ -41,52 +41,52 @@ def through(*hops: DataFrame) -> DataFrame:
     """Pairs at the ends of a chain of relations, each once however many ways lead there."""
     out = hops[0].select("parent", "child")
     for hop in hops[1:]:
-        step = hop.select(F.col("parent").alias("_via"), F.col("child").alias("_to"))
-        out = out.join(step, out["child"] == step["_via"]).select("parent", F.col("_to").alias("child"))
+        step = hop.select(F.col("parent").alias("__tessera_via"), F.col("child").alias("__tessera_to"))
+        out = out.join(step, out["child"] == step["__tessera_via"]).select("parent", F.col("__tessera_to").alias("child"))
     return out.dropDuplicates()
 
 
 def expand(pairs: DataFrame, children: DataFrame, child: str) -> DataFrame:
     """(parent, all columns of the child): pairs whose child is missing or hidden fall away."""
-    ids = pairs.select("parent", F.col("child").alias("_child"))
-    return ids.join(children, F.col("_child") == children[child]).drop("_child")
+    ids = pairs.select("parent", F.col("child").alias("__tessera_child"))
+    return ids.join(children, F.col("__tessera_child") == children[child]).drop("__tessera_child")
 
 
 def with_children(df: DataFrame, key: str, expanded: DataFrame, into: str, order: list[str] | None = None) -> DataFrame:
     """df with the children of each row as an array of structs, in the order of the named columns; empty if none."""
     names = [c for c in expanded.columns if c != "parent"]
-    lead = [F.col(c).alias(f"_{c}") for c in order or names]
-    rows = expanded.groupBy(F.col("parent").alias("_parent")).agg(F.sort_array(F.collect_list(F.struct(*lead, F.struct(*names).alias("_row")))).alias("_all"))
-    rows = rows.select("_parent", F.transform("_all", lambda x: x["_row"]).alias(into))
+    lead = [F.col(c).alias(f"__tessera_{c}") for c in order or names]
+    rows = expanded.groupBy(F.col("parent").alias("__tessera_parent")).agg(F.sort_array(F.collect_list(F.struct(*lead, F.struct(*names).alias("__tessera_row")))).alias("__tessera_all"))
+    rows = rows.select("__tessera_parent", F.transform("__tessera_all", lambda x: x["__tessera_row"]).alias(into))
     kind = rows.schema[into].dataType.simpleString()
-    return df.join(rows, df[key] == rows["_parent"], "left").drop("_parent").withColumn(into, F.coalesce(into, F.array().cast(kind)))
+    return df.join(rows, df[key] == rows["__tessera_parent"], "left").drop("__tessera_parent").withColumn(into, F.coalesce(into, F.array().cast(kind)))
 
 
 def related_by(children: DataFrame, child: str, pairs: DataFrame, parent) -> DataFrame:
     """Children that one parent's relation holds."""
-    return children.join(pairs.where(F.col("parent") == F.lit(parent)).select(F.col("child").alias("_c")), F.col(child) == F.col("_c"), "left_semi")
+    return children.join(pairs.where(F.col("parent") == F.lit(parent)).select(F.col("child").alias("__tessera_c")), F.col(child) == F.col("__tessera_c"), "left_semi")
 
 
 def having_some(df: DataFrame, key: str, expanded: DataFrame, test: Column) -> DataFrame:
     """Rows with a child for which the test is true."""
-    return df.join(expanded.where(test).select(F.col("parent").alias("_p")), df[key] == F.col("_p"), "left_semi")
+    return df.join(expanded.where(test).select(F.col("parent").alias("__tessera_p")), df[key] == F.col("__tessera_p"), "left_semi")
 
 
 def having_every(df: DataFrame, key: str, expanded: DataFrame, test: Column) -> DataFrame:
     """Rows without a child for which the test is false; a null outcome is not false."""
-    return df.join(expanded.where(~F.coalesce(test, F.lit(True))).select(F.col("parent").alias("_p")), df[key] == F.col("_p"), "left_anti")
+    return df.join(expanded.where(~F.coalesce(test, F.lit(True))).select(F.col("parent").alias("__tessera_p")), df[key] == F.col("__tessera_p"), "left_anti")
 
 
 def with_some(df: DataFrame, key: str, expanded: DataFrame, test: Column, into: str) -> DataFrame:
     """df with a flag, whether some child passes; for use under OR and NOT."""
-    found = expanded.where(test).select(F.col("parent").alias("_p")).dropDuplicates()
-    return df.join(found, df[key] == F.col("_p"), "left").withColumn(into, F.col("_p").isNotNull()).drop("_p")
+    found = expanded.where(test).select(F.col("parent").alias("__tessera_p")).dropDuplicates()
+    return df.join(found, df[key] == F.col("__tessera_p"), "left").withColumn(into, F.col("__tessera_p").isNotNull()).drop("__tessera_p")
 
 
 def with_size(df: DataFrame, key: str, expanded: DataFrame, into: str) -> DataFrame:
     """df with the number of children, 0 if none; for size and emptiness tests."""
-    n = expanded.groupBy(F.col("parent").alias("_p")).agg(F.count(F.lit(1)).alias(into))
-    return df.join(n, df[key] == F.col("_p"), "left").drop("_p").withColumn(into, F.coalesce(into, F.lit(0)))
+    n = expanded.groupBy(F.col("parent").alias("__tessera_p")).agg(F.count(F.lit(1)).alias(into))
+    return df.join(n, df[key] == F.col("__tessera_p"), "left").drop("__tessera_p").withColumn(into, F.coalesce(into, F.lit(0)))
 
 
 def references(classes: dict[str, tuple[DataFrame, str, list[str], list[str]]]) -> DataFrame:

@@ -71,3 +71,16 @@ def pop_last(c: Column, n: int = 1) -> Column:
 
 
 OPERATORS = {"$set": lambda _, v: col(v), "$inc": inc, "$dec": dec, "$mul": mul, "$div": div, "$max": most, "$min": least, "$addToSet": add_to_set, "$push": push, "$removeAll": remove_all, "$popFirst": pop_first, "$popLast": pop_last}
+
+
+def applied(columns: dict[str, Column], changes: dict[str, dict]) -> dict[str, Column]:
+    """New values by column of changes {column: {operator: operand}}.  A column takes one operator at a time, known here."""
+    out = {}
+    for name, change in changes.items():
+        if len(change) != 1:
+            raise ValueError(f"{name}: one operator for each key, not {len(change)}")
+        ((operator, value),) = change.items()
+        if operator not in OPERATORS:
+            raise ValueError(f"{name}: no operator {operator}")
+        out[name] = OPERATORS[operator](columns[name], value)
+    return out

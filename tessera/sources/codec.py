@@ -6,22 +6,32 @@ import datetime as dt
 import json
 import re
 import unicodedata
+from dataclasses import dataclass, field
 from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, DateType, DecimalType, MapType, StringType, StructType, TimestampNTZType, TimestampType
 
 
 class BigInt(int):
     """An integer to be sent as such, not as a number."""
 
 
+@dataclass(eq=False)
+class Object:
+    """A whole object: its class and its attributes, which may lead back to it."""
+
+    cls: str
+    attributes: dict = field(default_factory=dict)
+
+
 _FLAGS = {"i": re.IGNORECASE, "m": re.MULTILINE, "s": re.DOTALL}
 
 
-def tagged(x):
+def tagged(x, above: tuple = ()):
+    """x in the wire form.  What holds itself is written as the depth, from the outermost, of the holder it leads back to."""
     if isinstance(x, BigInt):
         return {"$integer": str(int(x))}
     if isinstance(x, dt.datetime):
@@ -31,14 +41,24 @@ def tagged(x):
         return {"$decimal": str(x)}
     if isinstance(x, re.Pattern):
         return {"$regex": x.pattern, "$options": "".join(f for f, bit in _FLAGS.items() if x.flags & bit)}
+    if not isinstance(x, (dict, list, tuple, Object)):
+        return x
+    for depth, holder in enumerate(above):
+        if holder is x:
+            return {"$ref": depth}
+    inner = (*above, x)
+    if isinstance(x, Object):
+        return {"$object": {"className": x.cls, "attributes": {k: tagged(v, inner) for k, v in x.attributes.items()}}}
     if isinstance(x, dict):
-        return {f"${k}" if k.startswith("$") else k: tagged(v) for k, v in x.items()}
-    return [tagged(v) for v in x] if isinstance(x, (list, tuple)) else x
+        return {f"${k}" if k.startswith("$") else k: tagged(v, inner) for k, v in x.items()}
+    return [tagged(v, inner) for v in x]
 
 
-def untagged(x):
+def untagged(x, above: tuple = ()):
     if isinstance(x, list):
-        return [untagged(v) for v in x]
+        items: list = []
+        items.extend(untagged(v, (*above, items)) for v in x)
+        return items
     if not isinstance(x, dict):
         return x
     if x.get("$date") is not None:
@@ -49,7 +69,15 @@ def untagged(x):
         return BigInt(x["$integer"])
     if x.get("$decimal") is not None:
         return Decimal(x["$decimal"])
-    return {k[1:] if k.startswith("$") else k: untagged(v) for k, v in x.items()}
+    if x.get("$ref") is not None:
+        return above[x["$ref"]]
+    if x.get("$object") is not None:
+        whole = Object(x["$object"]["className"])
+        whole.attributes.update((k, untagged(v, (*above, whole))) for k, v in x["$object"]["attributes"].items())
+        return whole
+    out: dict = {}
+    out.update((k[1:] if k.startswith("$") else k, untagged(v, (*above, out))) for k, v in x.items())
+    return out
 
 
 def serialize(x) -> str:
@@ -61,17 +89,27 @@ def deserialize(s: str):
 
 
 def wire_row(df: DataFrame) -> Column:
-    """Each row as JSON text in the wire form: timestamps, days and decimals tagged, other kinds as they are, nulls left out."""
-
-    def part(name: str, kind: str) -> Column:
-        c = F.col(name)
-        if kind in ("timestamp", "timestamp_ntz", "date"):
-            return F.when(c.isNotNull(), F.struct(F.unix_millis(c.cast("timestamp")).alias("$date"))).alias(name)
-        if kind.startswith("decimal"):
-            return F.when(c.isNotNull(), F.struct(c.cast("string").alias("$decimal"))).alias(name)
-        return c.alias(name)
-
-    return F.to_json(F.struct(*(part(n, k) for n, k in df.dtypes)))
+    """Each row as JSON text in the wire form: timestamps, days and decimals tagged at any depth, names that start with $
+    doubled, other kinds as they are, nulls left out."""
+
+    def part(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, (TimestampType, TimestampNTZType, DateType)):
+            return F.when(c.isNotNull(), F.struct(F.unix_millis(c.cast("timestamp")).alias("$date")))
+        if isinstance(kind, DecimalType):
+            return F.when(c.isNotNull(), F.struct(c.cast("string").alias("$decimal")))
+        if isinstance(kind, StructType):
+            return F.when(c.isNotNull(), F.struct(*(named(c.getField(f.name), f.name, f.dataType) for f in kind.fields)))
+        if isinstance(kind, ArrayType):
+            return F.transform(c, lambda x: part(x, kind.elementType))
+        if isinstance(kind, MapType) and isinstance(kind.keyType, StringType):
+            doubled = F.transform_keys(c, lambda k, _: F.when(k.startswith("$"), F.concat(F.lit("$"), k)).otherwise(k))
+            return F.transform_values(doubled, lambda _, v: part(v, kind.valueType))
+        return c
+
+    def named(c: Column, name: str, kind: DataType) -> Column:
+        return part(c, kind).alias(f"${name}" if name.startswith("$") else name)
+
+    return F.to_json(F.struct(*(named(F.col(f"`{f.name}`"), f.name, f.dataType) for f in df.schema.fields)))
 
 
 def nfd(x):

@@ -12,11 +12,11 @@ from pyspark.sql.streaming import StreamingQuery
 def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """(event, all columns): rows created, updated (any column differs) and deleted between two tables."""
     names = [c for c in after.columns if c != key]
-    old = before.select(F.col(key).alias("_key"), F.struct(*names).alias("_old"))
-    both = after.join(old, after[key].eqNullSafe(old["_key"]), "full_outer")
-    event = F.when(F.col("_old").isNull(), "create").when(F.col(key).isNull() & F.col("_key").isNotNull(), "delete").when(~F.struct(*names).eqNullSafe(F.col("_old")), "update")
+    old = before.select(F.col(key).alias("__tessera_key"), F.struct(*names).alias("__tessera_old"))
+    both = after.join(old, after[key].eqNullSafe(old["__tessera_key"]), "full_outer")
+    event = F.when(F.col("__tessera_old").isNull(), "create").when(F.col(key).isNull() & F.col("__tessera_key").isNotNull(), "delete").when(~F.struct(*names).eqNullSafe(F.col("__tessera_old")), "update")
     there = event != "delete"
-    return both.withColumn("event", event).where("event is not null").select("event", F.coalesce(key, "_key").alias(key), *(F.when(there, F.col(c)).otherwise(F.col(f"_old.{c}")).alias(c) for c in names))
+    return both.withColumn("event", event).where("event is not null").select("event", F.coalesce(key, "__tessera_key").alias(key), *(F.when(there, F.col(c)).otherwise(F.col(f"__tessera_old.{c}")).alias(c) for c in names))
 
 
 def event_of(version: Column) -> Column:
@@ -31,6 +31,16 @@ def live(log: DataFrame, event: str, where: Column | None = None, grants: list[s
     return out.where(F.arrays_overlap("_rperm", F.array(*map(F.lit, grants)))) if grants is not None else out
 
 
+#: System columns, the only ones that a published payload carries.
+SYSTEM = ("_id", "__v", "__i", "_created_at", "_updated_at", "_expired_at", "_rperm", "_wperm")
+
+
+def published(log: DataFrame, keys: tuple[str, ...] = ("event", *SYSTEM)) -> DataFrame:
+    """The payload of a log's rows: the event and the system columns there are; subscribers fetch the rest by id, so that
+    what they may not read is never sent."""
+    return log.select(*(c for c in log.columns if c in keys))
+
+
 def listen(payloads: DataFrame, where: Column | None = None) -> DataFrame:
     """Custom events (JSON text `payload`) as variants in `data`, that pass the selector."""
     out = payloads.withColumn("data", F.try_parse_json("payload"))
