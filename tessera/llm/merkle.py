@@ -235,4 +235,6 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def op9_merkle(spark, sf_dir: str) -> DataFrame:
-    return fingerprints(read(spark, sf_dir, "documents"))
+    found = fingerprints(read(spark, sf_dir, "documents"))
+    spans = F.transform("edited_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.withColumn("edited_spans", F.array_join(spans, ","))
