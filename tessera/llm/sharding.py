@@ -125,9 +125,10 @@ def shard(documents: DataFrame, n_shards: int = N_SHARDS, tolerance: float = TOL
     # A row for each piece: a few times as many as there are partitions, so it may be broadcast.
     bases = table(rows.withColumn("__shard_base", F.coalesce(F.sum("__shard_rows").over(before), F.lit(0))).drop("__shard_rows"))
     place = F.row_number().over(Window.partitionBy(*piece).orderBy("__shard_text", "__shard_id"))
-    found = keyed(documents).withColumns(piece).withColumn("__shard_place", place).join(F.broadcast(bases), list(piece))
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))  # before the exchange, which then needs no text of its own
+    found = keyed(documents).withColumn("__shard_crc", crc).withColumns(piece).withColumn("__shard_place", place).join(F.broadcast(bases), list(piece))
     return found.withColumns({
-        "size": F.col("__shard_size"), "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), "shard": F.col("__shard_number"),
+        "size": F.col("__shard_size"), "text_crc32": F.col("__shard_crc"), "shard": F.col("__shard_number"),
         "slot": F.col("__shard_base") + F.col("__shard_place") - 1, "group_split": divided,
     }).select(*(c for c in documents.columns if c not in ADDED), *ADDED)
 
