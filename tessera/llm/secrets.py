@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches, read
+from .shared import map_batches, read, scratch, table
 
 THRESHOLD, PENALTY = 15.0, math.log10(2)
 #: Words of the corpus in the dictionary at most, their letters, and the documents that must hold one.
@@ -184,11 +184,22 @@ def scan(text: str, threshold: float = THRESHOLD, ranks: Ranks = BASE) -> list[t
 
 
 def corpus_words(documents: DataFrame, most: int = CORPUS_WORDS) -> list[str]:
-    """The words of the corpus that most documents hold, at most `most` of them (a few hundred KB), the commonest first."""
+    """The words of the corpus that most documents hold, at most `most` of them (a few hundred KB), the commonest first.
+
+    How many words have each count tells which count the last of them has, so that the tasks send only words at or above
+    it to the driver, and not `most` words each."""
     low, high = LETTERS
     held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{%d,}" % low), F.lit(0)))
     words = documents.select(F.explode(held).alias("word")).where(F.length("word") <= high).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return [r["word"] for r in words.where(F.col("n") >= IN_DOCUMENTS).orderBy(F.desc("n"), "word").limit(most).collect()]
+    with scratch(documents.sparkSession):
+        words = table(words.where(F.col("n") >= IN_DOCUMENTS))
+        counts = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(most).collect()
+        total, least = 0, 0
+        for r in counts:
+            total, least = total + r["words"], r["n"]
+            if total >= most:
+                break
+        return [r["word"] for r in words.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def find_secrets(documents: DataFrame, threshold: float = THRESHOLD, most_words: int = CORPUS_WORDS) -> DataFrame:
