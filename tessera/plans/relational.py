@@ -201,7 +201,8 @@ def _(spark, t):
 @query("085_reverse_pointer", "select c_custkey, array_to_string(list(o_orderkey order by o_orderkey), ',') as orders from customer left join orders on c_custkey = o_custkey group by 1")
 def _(spark, t):
     people = relations.with_children(t("customer"), "c_custkey", _items_of_orders(t).select("parent", "o_orderkey"), "orders")
-    return people.select("c_custkey", F.array_join(F.transform("orders", lambda o: o["o_orderkey"].cast("string")), ",").alias("orders"))
+    joined = F.array_join(F.transform("orders", lambda o: o["o_orderkey"].cast("string")), ",")
+    return people.select("c_custkey", F.nullif(joined, F.lit("")).alias("orders"))  # null for a customer without orders
 
 
 @query("086_reverse_relation", "select o_orderkey as parent, o_custkey as child from orders")
