@@ -528,11 +528,10 @@ def _(spark, t):
 
 @query("234_235_next_job", "select o_orderkey from orders where o_orderstatus = 'O' and o_orderpriority not in ('1-URGENT', '2-HIGH') order by o_orderdate, o_orderpriority limit 1")
 def _(spark, t):
-    jobs = t("orders").select("o_orderkey", F.col("o_orderpriority").alias("name"), F.col("o_orderdate").alias("created_at"), F.lit(None).cast("timestamp").alias("started_at"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate")).alias("completed_at"))
-    jobs = jobs.withColumn("created_at", F.col("created_at"))
+    jobs = t("orders").select("o_orderkey", F.col("o_orderpriority").alias("name"), F.col("o_orderdate").alias("created_at"), F.lit(None).cast("timestamp").alias("started_at"), F.when(~F.col("o_orderstatus").eqNullSafe("O"), F.coalesce("o_orderdate", F.current_timestamp())).alias("completed_at"))
     scopes = spark.createDataFrame([("1-URGENT", "s"), ("2-HIGH", "s"), ("5-LOW", "other")], "name string, scope string")
     locks = spark.range(1).select(F.lit("s").alias("scope"), F.current_timestamp().alias("updated_at"))
-    first = changes.next_job(jobs, locks, scopes)
+    first = changes.next_job(jobs, locks, scopes, ties=("o_orderkey",))
     return first.select("o_orderkey")
 
 

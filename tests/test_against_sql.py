@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import duckdb
 
 from tessera.plans import catalog
@@ -23,3 +25,21 @@ def test_a_customer_without_orders_has_no_list(spark, tmp_path):
     orders = spark.createDataFrame([(12, 1), (3, 1), (None, 1), (None, 3), (7, None)], "o_orderkey long, o_custkey long")
     got, wanted = both(spark, tmp_path, "085_reverse_pointer", customer=customer, orders=orders)
     assert got == wanted == [(1, "3,12"), (2, None), (3, None)]
+
+
+JOBS = "o_orderkey long, o_orderstatus string, o_orderpriority string, o_orderdate timestamp_ntz"
+
+
+def test_the_first_of_tied_jobs_is_the_least_id(spark, tmp_path):
+    day = dt.datetime(1995, 1, 1)
+    orders = spark.createDataFrame([(k, "O", "3-MEDIUM", day) for k in (9, 4, 7, 5)] + [(1, "O", "5-LOW", day), (2, "F", "3-MEDIUM", day), (3, "O", "1-URGENT", day)], JOBS)
+    for parts in (1, 3):
+        orders.repartition(parts).sortWithinPartitions("o_orderdate", "o_orderpriority", (orders["o_orderkey"] * -1)).write.parquet(str(tmp_path / str(parts) / "orders.parquet"))
+        assert catalog.queries()["234_235_next_job"](spark, str(tmp_path / str(parts))).collect() == [(4,)]
+
+
+def test_nulls_make_no_job_due(spark, tmp_path):
+    early = dt.datetime(1990, 1, 1)
+    orders = spark.createDataFrame([(1, "O", "3-MEDIUM", None), (2, "O", None, early), (3, None, "3-MEDIUM", early), (4, "F", "5-LOW", None), (5, "O", "5-LOW", dt.datetime(1995, 1, 1))], JOBS)
+    got, wanted = both(spark, tmp_path, "234_235_next_job", orders=orders)
+    assert got == wanted == [(5,)]
