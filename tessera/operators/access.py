@@ -97,12 +97,20 @@ def visible(df: DataFrame, viewer: Viewer, rules: Rules = Rules(), action: str =
     return df.where(allowed(df, viewer, rules, action))
 
 
+#: Pairs of a user and a role, repeats included, for each task that makes them, on average.
+PAIRS = 1 << 20
+
+#: Ways between roles that are broadcast; more are joined by shuffles.
+WAYS = 1 << 20
+
+
 def inherited_roles(members: DataFrame, roles: DataFrame) -> DataFrame:
     """(user, role): roles a user is in, and all that hold those roles, to any depth.
 
     members has (role, user), roles has (role, holds): a role and one whose members it takes in.  Ways between roles double
     in length with each round, so a chain of a thousand roles takes ten; rounds end when one finds no new pair, so cycles
-    do no harm.  Members are joined once, when all ways are known."""
+    do no harm.  Members are joined once, when all ways are known.  Users are dealt over as many tasks as there are PAIRS
+    in the pairs made, and a user's repeats are dropped there, so that no task's memory grows with the members."""
     ways = written(roles.select(F.col("holds").alias("from"), F.col("role").alias("to")).where("`from` is not null and `to` is not null").dropDuplicates())
     n = ways.count()
     while True:
@@ -113,5 +121,11 @@ def inherited_roles(members: DataFrame, roles: DataFrame) -> DataFrame:
         if n == before:
             break
     own = members.select("user", "role")
-    above = own.join(ways, own["role"] == ways["from"]).select("user", F.col("to").alias("role"))
-    return own.unionByName(above).dropDuplicates()
+    above = ways.groupBy("from").agg(F.count(F.lit(1)).alias("n"))
+    pairs = own.join(above, own["role"] == above["from"], "left").agg(F.sum(F.coalesce("n", F.lit(0)) + 1)).first()[0] or 1
+    tasks = -(-pairs // PAIRS)
+    ways = ways.unionByName(ways.select("from", F.col("from").alias("to"))).dropDuplicates()
+    few = n <= WAYS
+    own = own.repartition(tasks, "user") if few else own
+    all_ = own.join(F.broadcast(ways) if few else ways, own["role"] == ways["from"], "left").select("user", F.coalesce("to", "role").alias("role"))
+    return (all_ if few else all_.repartition(tasks, "user")).dropDuplicates()

@@ -5,7 +5,10 @@ from __future__ import annotations
 import datetime as dt
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import access
 from tessera.plans import catalog
 
 
@@ -43,3 +46,19 @@ def test_nulls_make_no_job_due(spark, tmp_path):
     orders = spark.createDataFrame([(1, "O", "3-MEDIUM", None), (2, "O", None, early), (3, None, "3-MEDIUM", early), (4, "F", "5-LOW", None), (5, "O", "5-LOW", dt.datetime(1995, 1, 1))], JOBS)
     got, wanted = both(spark, tmp_path, "234_235_next_job", orders=orders)
     assert got == wanted == [(5,)]
+
+
+@pytest.mark.parametrize("ways", [1 << 20, 0])
+def test_tasks_of_a_role_closure_follow_its_pairs(spark, monkeypatch, ways):
+    """Users in one role of a chain, in two of it, in one of a cycle, in one that none holds, and in none."""
+    monkeypatch.setattr(access, "PAIRS", 100, raising=False)
+    monkeypatch.setattr(access, "WAYS", ways, raising=False)
+    held = {r: set(range(r + 1)) for r in range(12)} | {20: {20, 21}, 21: {20, 21}, 30: {30}, None: {None}}
+    own = [(u, u % 12) for u in range(300)] + [(u, u % 7) for u in range(0, 300, 2)] + [(400, 20), (401, 30), (402, None), (None, 1), (None, 2), (5, 5)]
+    members = spark.createDataFrame(own, "user long, role int")
+    roles = spark.createDataFrame([(r - 1, r) for r in range(1, 12)] + [(20, 21), (21, 20)], "role int, holds int")
+    got = access.inherited_roles(members, roles).select("user", "role", F.spark_partition_id().alias("task")).collect()
+    wanted = {(u, to) for u, r in own for to in held[r]}
+    assert len(got) == len(wanted) and {(r["user"], r["role"]) for r in got} == wanted
+    each = [sum(r["task"] == t for r in got) for t in {r["task"] for r in got}]
+    assert len(each) > len(wanted) / 200 and max(each) < 400
